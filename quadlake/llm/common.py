@@ -89,3 +89,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def n_words(text) -> F.Column:
     """Number of words; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(f"({WORD})")), F.lit(0)).cast("long")
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Texts have no longest length; Arrow batches of few rows bound what a Python worker holds."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+travels(__name__)

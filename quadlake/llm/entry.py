@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, matroska, mixing, packing, sharding, token_files
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1,
+        "op2_matroska_media": matroska.op2,
+        "op3_token_files": token_files.op3,
         "op6_rendezvous_shards": sharding.op6,
+        "op7_sum_of_squares_packing": packing.op7,
         "op8_exact_dedup": exact_dedup.op8,
     }
 
