@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, matroska, mixing, packing, sharding, token_files
+from . import exact_dedup, matroska, mixing, packing, sharding, token_files, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_rendezvous_shards": sharding.op6,
         "op7_sum_of_squares_packing": packing.op7,
         "op8_exact_dedup": exact_dedup.op8,
+        "op9_weak_supervision": toxicity.op9,
     }
 
 
