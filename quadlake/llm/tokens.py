@@ -82,34 +82,37 @@ class Encoder:
     def _learn(self, known: _Pieces, spell=None) -> list[str]:
         """Encodes what was missed; spell writes a piece as it stands in a text. Gives the long pieces, which aren't kept."""
         new, known.new = known.new, []
-        alone, cores, tails = [], {}, {}
+        alone, cores, tails, whole = [], {}, {}, []
         for p in new:
-            if not spell or len(p) > 64:
+            core = p.rstrip(PUNCT)
+            if not spell or len(p) > 64 or p[:1] == "\n":
                 alone.append(p)
+            elif core.isalpha():  # letters and marks after them never merge
+                if known.get(core) is None:
+                    cores[core] = None
+                if len(core) < len(p):
+                    tails[p[len(core) :]] = None
+                    whole.append((p, core))
             elif self.cut == "blanks":
-                if p[0] == "\n":
-                    alone.append(p)
-                else:
-                    cores[p] = None  # one blank a piece, whatever else it holds
+                cores[p] = None  # one blank a piece, whatever else it holds
             else:
-                core = p.rstrip(PUNCT)
-                if core.isalpha():
-                    cores[core] = None
-                    if len(core) < len(p):
-                        tails[p[len(core) :]] = None
-                else:
-                    alone.append(p)
-        cores.update(zip(cores, self._letters(list(cores)), strict=True))
+                alone.append(p)
+        known.update(zip(cores, self._letters(list(cores)), strict=True))
         tails.update(zip(tails, self._raw(list(tails)), strict=True))
-        for p in new:
-            core = p.rstrip(PUNCT) if self.cut == "words" else p
-            if spell and len(p) <= 64 and core in cores:
-                known[p] = cores[core] + tails[p[len(core) :]] if len(core) < len(p) else cores[core]
+        for p, core in whole:
+            known[p] = known[core] + tails[p[len(core) :]]
         for i in range(0, len(alone), 2048):
             part = alone[i : i + 2048]
             known.update(zip(part, self._raw([spell(p) if spell else p for p in part]), strict=True))
         return [p for p in alone if len(p) > 64]
 
+    def _joined(self, found: list[bytes | None], pieces: list[str]) -> bytes:
+        """What was found, and for the pieces that were missed what has been learned since."""
+        if None in found:
+            known = self.known
+            found = [known[p] if f is None else f for f, p in zip(found, pieces, strict=True)]
+        return b"".join(found)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.cut == "whole":
             return self._raw(texts)
@@ -118,23 +121,21 @@ class Encoder:
                 c.old = dict(c)
                 c.clear()
         if self.cut == "words":
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-            for s in split:
-                deque(map(self.known.__getitem__, s), 0)
+            split = [_folded(t).replace("\n", " ").split(" ") for t in texts]
+            found = [list(map(self.known.__getitem__, s)) for s in split]
             long = self._learn(self.known, str)
-            out = [b"".join(map(self.known.__getitem__, s)) for s in split]
+            out = [self._joined(f, s) for f, s in zip(found, split, strict=True)]
         else:
             split = [t.replace("\n", " \n").split(" ") for t in texts]
             odd = [i for i, (t, s) in enumerate(zip(texts, split, strict=True)) if "" in s or "\n" in s or ODD.search(t)]
             for i in odd:
                 split[i] = []
-            heads = [s[0] if s else "" for s in split]
+            heads = [s.pop(0) if s else "" for s in split]
             deque(map(self.first.__getitem__, heads), 0)
-            for s in split:
-                deque(map(self.known.__getitem__, s[1:]), 0)
+            found = [list(map(self.known.__getitem__, s)) for s in split]
             a = self._learn(self.first)
             long = self._learn(self.known, lambda p: p if p[0] == "\n" else " " + p)
-            out = [self.first[h] + b"".join(map(self.known.__getitem__, s[1:])) for h, s in zip(heads, split, strict=True)]
+            out = [self.first[h] + self._joined(f, s) for h, f, s in zip(heads, found, split, strict=True)]
             for i, x in zip(odd, self._raw([texts[i] for i in odd]), strict=True):
                 out[i] = x
             for p in a:
@@ -144,6 +145,15 @@ class Encoder:
         return out
 
 
+def _folded(text: str) -> str:
+    """In lower case where that is sure to be what the tokenizer makes of it: there, nothing composes or depends on its place."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def encoder(path: str, cut: str) -> Encoder:
     """One a worker process, kept for its later tasks."""
     import tokenizers
