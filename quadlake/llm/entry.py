@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, matroska, mixing, packing, sharding, simhash, token_files, toxicity
+from . import exact_dedup, matroska, mixing, packing, sharding, simhash, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mix_sources": mixing.op1,
         "op2_matroska_media": matroska.op2,
         "op3_token_files": token_files.op3,
+        "op4_suffix_arrays": suffix_dedup.op4,
         "op5_simhash_bk_trees": simhash.op5,
         "op6_rendezvous_shards": sharding.op6,
         "op7_sum_of_squares_packing": packing.op7,
