@@ -186,11 +186,13 @@ def classes(buf: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np
     return order[at], shared
 
 
-FOUND = "did long, tid long, s int, e int, d1 long, d2 long"
+FOUND = "did long, tid long, s int, e int, bucket int, strings binary"
+STRING = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("did", "<i8"), ("tid", "<i8"), ("s", "<i4"), ("asks", "u1")])
 
 
-def _shards(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """Intervals of bytes that repeat (d1 null), and one string of each kind from groups that are split (d1, d2; did null if it needs no answer)."""
+def _shards(contexts: DataFrame, length: int, shard_bytes: int, buckets: int) -> DataFrame:
+    """Intervals of bytes that repeat (bucket null), and from groups that are split one string of each kind: sorted arrays
+    of STRING, a row a shard and bucket of digests. A string that asks is one that its own shard has only once."""
 
     def solve(rows):
         import xxhash
@@ -225,14 +227,20 @@ def _shards(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
                 s = z
         split = np.array([x[7] for x in rows])[who]
         view = memoryview(buf)
-        for c in k[~shared & split[k]].tolist():  # the first of each kind
-            d1, d2 = np.frombuffer(xxhash.xxh3_128_digest(view[int(start[c]) : int(start[c]) + length]), "<i8").tolist()
-            w = int(who[c])
-            at_ = rows[w][3] + int(p[c])
-            asks = bool(single[c]) and not hit[c]
-            add(rows[w][0] if asks else None, rows[w][1] if asks else None, at_, at_ + length, d1, d2)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["did", "tid", "s", "e", "d1", "d2"])
+        mine = k[~shared & split[k]]  # the first of each kind
+        if len(mine):
+            t = np.zeros(len(mine), STRING)
+            d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[x : x + length]) for x in start[mine].tolist()]), "<i8").reshape(-1, 2)
+            ids = np.array([x[:2] for x in rows], np.int64)[who[mine]]
+            t["d1"], t["d2"], t["did"], t["tid"] = d[:, 0], d[:, 1], ids[:, 0], ids[:, 1]
+            t["s"] = np.array([x[3] for x in rows])[who[mine]] + p[mine]
+            t["asks"] = single[mine] & ~hit[mine]
+            t = t[np.lexsort((t["d2"], t["d1"], t["d1"] % buckets))]
+            ends = np.flatnonzero(np.append(np.diff(t["d1"] % buckets) != 0, True)) + 1
+            for a, z in zip([0, *ends.tolist()], ends.tolist()):
+                add(None, None, None, None, int(t["d1"][a] % buckets), t[a:z].tobytes())
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["did", "tid", "s", "e", "bucket", "strings"])
 
     def rows(batches):
         held, size, last = [], 0, None
@@ -251,27 +259,38 @@ def _shards(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     return contexts.mapInArrow(rows, FOUND)
 
 
-def _merge(strings: DataFrame) -> DataFrame:
-    """Of strings from several shards, those that ask and that another shard has too."""
+def _merge(strings: DataFrame, length: int) -> DataFrame:
+    """Of strings from several shards, those that ask and that another shard has too, found by binary search."""
 
-    def rows(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        d = np.empty(t.num_rows, "<i8,<i8")
-        d["f0"], d["f1"] = t["d1"].to_numpy(), t["d2"].to_numpy()
-        asks = np.flatnonzero(t["did"].is_valid().to_numpy())
+    def search(rows: list[bytes]):
+        t = np.concatenate([np.frombuffer(x, STRING) for x in rows])
+        t = t[np.lexsort((t["d2"], t["d1"]))]
         # a shard gives each kind once, so a digest found twice comes from two shards
-        order = np.lexsort((d["f1"], d["f0"]))
-        high, low = d["f0"][order], d["f1"][order]
-        first = np.searchsorted(high, d["f0"][asks], "left")
-        last = np.searchsorted(high, d["f0"][asks], "right")
-        found = [np.searchsorted(low[a:z], v, "right") - np.searchsorted(low[a:z], v, "left") > 1 for a, z, v in zip(first.tolist(), last.tolist(), d["f1"][asks].tolist())]
-        got = t.take(pa.array(asks[np.array(found, bool)]))
-        yield from got.combine_chunks().select(["did", "tid", "s", "e"]).to_batches()
+        asks = np.flatnonzero(t["asks"])
+        first, last = (np.searchsorted(t["d1"], t["d1"][asks], side) for side in ("left", "right"))
+        several = np.flatnonzero(last - first > 1)
+        found = [k for k, a, z, v in zip(several.tolist(), first[several].tolist(), last[several].tolist(), t["d2"][asks[several]].tolist()) if np.searchsorted(t["d2"][a:z], v, "right") - np.searchsorted(t["d2"][a:z], v, "left") > 1]
+        got = t[asks[found]]
+        got = got[np.lexsort((got["s"], got["tid"], got["did"]))]
+        # starts that follow one another make one range
+        new = np.append(True, (np.diff(got["s"]) != 1) | (np.diff(got["tid"]) != 0) | (np.diff(got["did"]) != 0)) if len(got) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        end = got["s"][np.append(at[1:], len(got)) - 1] + length if len(at) else got["s"]
+        return pa.RecordBatch.from_arrays([pa.array(got["did"][at]), pa.array(got["tid"][at]), pa.array(got["s"][at]), pa.array(end.astype(np.int32))], names=["did", "tid", "s", "e"])
+
+    def rows(batches):
+        held, last = [], None
+        for b in batches:
+            for bucket, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held and bucket != last:
+                    yield search(held)
+                    held = []
+                held.append(x)
+                last = bucket
+        if held:
+            yield search(held)
 
-    return strings.repartition("d1").mapInArrow(rows, "did long, tid long, s int, e int")
+    return strings.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "strings").mapInArrow(rows, "did long, tid long, s int, e int")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, *, length: int = 400, text: str = "text", doc_id: str = "doc_id", shard_contexts: int = 2000, shard_bytes: int = 1 << 20) -> DataFrame:
@@ -291,9 +310,10 @@ def repeats(spark: SparkSession, docs: DataFrame, *, length: int = 400, text: st
     contexts = src.join(wanted, ["did", "tid"]).select("did", "tid", F.col("body"), F.explode("w").alias("w"))
     contexts = contexts.select("did", "tid", "w.key", "w.l", "w.n", F.substring(F.col("body"), F.col("w.l") + 1, F.col("w.n") + F.lit(length - 1)).alias("ctx"), "w.cnt", "w.split", F.col("w.key").alias("k"), "w.sub")
     dealt = contexts.repartition("k", "sub").sortWithinPartitions("k", "sub")
-    found = C.stage(spark, _shards(dealt, length, shard_bytes), "found")
+    buckets = 16 * C.shuffle_partitions(spark)
+    found = C.stage(spark, _shards(dealt, length, shard_bytes, buckets), "found")
     whole = runs.join(kinds.where("cnt > 1").select("key", "c1", "c2"), ["key", "c1", "c2"]).select("did", "tid", F.col("l").alias("s"), (F.col("l") + F.col("n") + F.lit(length - 1)).alias("e"))
-    spans = whole.unionByName(found.where("d1 IS NULL").select("did", "tid", "s", "e")).unionByName(_merge(found.where("d1 IS NOT NULL")))
+    spans = whole.unionByName(found.where("bucket IS NULL").select("did", "tid", "s", "e")).unionByName(_merge(found.where("bucket IS NOT NULL"), length))
     return spans.groupBy("did", "tid").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
