@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, matroska, mixing, packing, sharding, simhash, suffix_dedup, token_files, toxicity
+from . import exact_dedup, matroska, mixing, packing, pii, sharding, simhash, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_sum_of_squares_packing": packing.op7,
         "op8_exact_dedup": exact_dedup.op8,
         "op9_weak_supervision": toxicity.op9,
+        "op10_information_sanitisation": pii.op10,
     }
 
 
