@@ -47,7 +47,8 @@ def _luhn(v: Column) -> Column:
 
 
 def _small_parts(v: Column) -> Column:
-    return F.forall(F.split(v, r"\."), lambda x: F.length(F.ltrim(F.lit("0"), x)) <= 3) & F.forall(F.split(v, r"\."), lambda x: F.coalesce(F.substring(F.ltrim(F.lit("0"), x), 1, 3).try_cast("int"), F.lit(0)) <= 255)
+    bare = lambda x: F.ltrim(x, F.lit("0"))
+    return F.forall(F.split(v, r"\."), lambda x: (F.length(bare(x)) <= 3) & (F.coalesce(F.substring(bare(x), 1, 3).try_cast("int"), F.lit(0)) <= 255))
 
 
 def _found(text: Column, pattern: str, gate: Column) -> Column:
@@ -117,7 +118,7 @@ def disclosing(docs: DataFrame, near: DataFrame, entities: DataFrame, rows: int,
     """entity, term, head_tells: terms that disclose a share of at least alpha of an entity's information, and whether
     their first letters do so too."""
     told = near.select("rid", "entity", "ctx", F.explode(F.array("term", _head(F.col("term"), letters))).alias("term"))
-    # a term of a row counts once; contexts are told apart by a sum of distinct hashes kept per pair
+    # a term of a row counts once, and so does a context however often it is copied
     joint = told.groupBy("entity", "term").agg(F.count_distinct("rid").alias("n_et"), F.count_distinct("ctx").alias("contexts")).where(F.col("contexts") >= support)
     mentioned = entities.groupBy("entity").agg(F.count_distinct("rid").alias("n_e"))
     words = F.array_distinct(_terms(F.coalesce(F.col("text"), F.lit(""))))
