@@ -1,16 +1,35 @@
-"""Cutting the lineage of iterative plans with reliable checkpoints."""
+"""Cutting the lineage of iterative plans with tables in the shared folder."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it names none."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="quadlake-"))
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and read back from the folder that the cluster names in spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="quadlake-"))
-    return df.checkpoint(eager=True)
+    """df, computed once and read back. Like a reliable checkpoint it outlives executors; unlike one it doesn't compute twice."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    atexit.register(_forget, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
