@@ -102,8 +102,8 @@ class BKTree:
             node = self.kids[np.arange(len(q)) + start]
 
 
-def joined(fps: np.ndarray, radius: int, near=None, block: int = 256, pivots: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what the radius (and near, a test of index pairs) connects, fewer than there are fingerprints.
+def joined(fps: np.ndarray, radius: int, block: int = 256, pivots: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the radius connects, fewer than there are fingerprints.
 
     A few pivots first gather what lies around them. If that makes one large cluster, as a group of copies does, only
     the others search the tree: pairs within the cluster are connected already.
@@ -122,7 +122,7 @@ def joined(fps: np.ndarray, radius: int, near=None, block: int = 256, pivots: in
         new = root[q] != root[node]
         for i, j in zip(q[new].tolist(), node[new].tolist()):
             x, y = find(i), find(j)
-            if x != y and (near is None or near(i, j)):
+            if x != y:
                 root[max(x, y)] = min(x, y)
                 a.append(i)
                 b.append(j)
@@ -235,95 +235,150 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, r
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_sha256")
 
 
-SKETCH, BANDS = 512, 5
+BANDS = 5
 _rng = np.random.default_rng(7)
 ODD = (_rng.integers(0, 1 << 63, BANDS, np.uint64) << np.uint64(1)) | np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, BANDS, np.uint64)
 
 
-def profile(text: bytes, shingle: int) -> tuple[int, list[int], bytes]:
-    """Fingerprint, BANDS minima of the shingle set, and the set itself or, beyond SKETCH shingles, its SKETCH smallest hashes."""
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles; none for a text without words."""
     import xxhash
 
     words = text.translate(TO_LOWER).split()
-    spans = [b" ".join(words)] if len(words) < shingle else [b" ".join(w) for w in zip(*(words[k:] for k in range(shingle)))]
     if not words:
-        return 0, [0] * BANDS, b""
+        return np.zeros(0, np.uint64)
+    spans = [b" ".join(words)] if len(words) < shingle else [b" ".join(w) for w in zip(*(words[k:] for k in range(shingle)))]
     h = xxhash.xxh64_intdigest
-    v = np.fromiter((h(s, 42) for s in spans), np.uint64, len(spans))
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(v), 1 << 16):
-        ones += np.unpackbits(v[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    fp = int(np.packbits(2 * ones > len(v), bitorder="little").view("<i8")[0])
-    v = np.unique(v)
+    return np.unique(np.fromiter((h(s, 42) for s in spans), np.uint64, len(spans)))
+
+
+def minima(v: np.ndarray) -> list[int]:
+    """BANDS minima of a shingle set."""
+    if not len(v):
+        return [0] * BANDS
     with np.errstate(over="ignore"):
-        mins = [int((((v ^ (v >> np.uint64(29))) * m + c) ^ np.uint64(k)).min().view(np.int64)) for k, (m, c) in enumerate(zip(ODD, ADD))]
-    return fp, mins, np.unique((v >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes()
+        return [int((((v ^ (v >> np.uint64(29))) * m + c) ^ np.uint64(k)).min().view(np.int64)) for k, (m, c) in enumerate(zip(ODD, ADD))]
 
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Of two sorted sets, or its estimate from the smallest hashes of larger ones. Two empty sets are equal."""
-    if not len(x) and not len(y):
-        return 1.0
-    both = np.intersect1d(x, y, assume_unique=True)
-    if len(x) < SKETCH and len(y) < SKETCH:
-        return len(both) / (len(x) + len(y) - len(both))
-    union = np.union1d(x, y)
-    top = union[min(SKETCH, len(union)) - 1]
-    return np.searchsorted(both, top, side="right") / min(SKETCH, len(union))
+def similar_pairs(sets: list[bytes], similarity: float, pivots: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what pairs of at least this Jaccard similarity connect, fewer than there are sets.
+
+    No pair is missed. x and y share at least similarity * max(len x, len y) shingles, so among the shingles of each in any
+    one order, here rarest first, the first len - ceil(similarity * len) + 1 have one in common: only such pairs are counted
+    out, on the whole sets. Pairs connected already are passed over; equal sets are linked to the first of them, and a few
+    pivots first gather what is close to them, as in ``joined``.
+    """
+    first: dict[bytes, int] = {}
+    a, b, at = [], [], []
+    for i, x in enumerate(sets):
+        j = first.setdefault(x, i)
+        if j != i:
+            a.append(j)
+            b.append(i)
+        elif x:
+            at.append(i)
+    n = len(at)
+    if n > 1:
+        held = [np.frombuffer(sets[i], "<u8") for i in at]
+        size = np.array([len(x) for x in held])
+        ids, df = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)[1:]
+        rank = np.empty(len(df), np.int64)
+        rank[np.argsort(df, kind="stable")] = np.arange(len(df))
+        owner = np.repeat(np.arange(n), size)
+        ids = rank[ids]
+        ids = ids[np.lexsort((ids, owner))]
+        start = np.concatenate(([0], np.cumsum(size)))
+        prefix = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+        leads = np.arange(len(ids)) - start[owner] < prefix[owner]
+        order = np.argsort(ids[leads], kind="stable")
+        post, tokens = owner[leads][order], ids[leads][order]
+        mark, root, done = np.zeros(len(df), bool), np.arange(n), np.zeros(n, bool)
+
+        def join(i: int, who: np.ndarray) -> None:
+            """Links i to those of ``who`` that are similar to it and not connected yet."""
+            who = who[(root[who] != root[i]) & ~done[who]]
+            who = who[np.minimum(size[who], size[i]) >= similarity * np.maximum(size[who], size[i]) - 1e-9]
+            if not len(who):
+                return
+            mark[ids[start[i] : start[i + 1]]] = True
+            ends = np.cumsum(size[who])
+            here = np.arange(ends[-1]) + np.repeat(start[who] - (ends - size[who]), size[who])
+            both = np.add.reduceat(mark[ids[here]], ends - size[who], dtype=np.int64)
+            mark[ids[start[i] : start[i + 1]]] = False
+            for j in who[both / (size[who] + size[i] - both) >= similarity].tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    a.append(at[i])
+                    b.append(at[j])
+
+        if n > 2 * pivots:
+            for p in np.linspace(0, n - 1, pivots).astype(int).tolist():
+                join(p, np.arange(n))
+        most = np.bincount(root, minlength=n)
+        for i in np.flatnonzero(root != most.argmax()) if most.max() > n // 4 else range(n):
+            mine = ids[start[i] : start[i] + prefix[i]]
+            lo, hi = np.searchsorted(tokens, mine), np.searchsorted(tokens, mine, side="right")
+            join(int(i), np.unique(np.concatenate([post[x:y] for x, y in zip(lo.tolist(), hi.tolist())])))
+            done[i] = True
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def similar(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def similar(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, text_sha256, rid, component for every row: texts whose sets of shingles have at least this similarity are linked.
 
-    So wide a radius leaves a BK-tree of all fingerprints nothing to cut, so shards are named by minima of the shingle
-    set: a pair at the similarity shares one of five but for 0.03 %. In a shard the tree finds pairs within the radius,
-    and the shingle sets decide (exactly up to 512 shingles, by 512 smallest hashes beyond). Texts without words are
+    Shards are named by minima of the shingle set: a pair at the similarity shares one of five but for 0.03 %. All pairs of
+    a shard are tested on their whole sets of 64-bit shingle hashes, however long the texts. Texts without words are
     equal. Of repeated rows each is a row. component is the smallest rid reached.
     """
     C.small_batches(spark)
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("b"))
+    src = src.select("doc_id", F.sha2("b", 256).alias("text_sha256"), "b")
 
     def rows(batches):
         for b in batches:
-            got = [profile(x.as_py(), shingle) for x in b.column(2)]
-            fp, mins, sets = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "text_sha256", "fp", "mins", "shingles"])
+            mins = [minima(shingle_set(x.as_py(), shingle)) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(mins, pa.list_(pa.int64()))], names=["doc_id", "text_sha256", "mins"])
 
-    got = src.select("doc_id", F.sha2("b", 256).alias("text_sha256"), "b").mapInArrow(rows, "doc_id long, text_sha256 string, fp long, mins array<long>, shingles binary")
+    got = src.mapInArrow(rows, "doc_id long, text_sha256 string, mins array<long>")
     all_rows = C.stage(spark, got.select(F.monotonically_increasing_id().alias("rid"), "*"), "profiles")
-    keys = all_rows.select("rid", F.posexplode("mins").alias("band", "key"))
+    # equal texts are one in what follows
+    texts = all_rows.groupBy("text_sha256").agg(F.min("rid").alias("tid"), F.first("mins").alias("mins"))
+    keys = texts.select("text_sha256", "tid", F.posexplode("mins").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = keys.join(shared, ["band", "key"], "left_semi")
-    members = members.join(all_rows.select("rid", "fp", "shingles"), "rid").select("band", "key", "rid", "fp", "shingles")
+    members = C.stage(spark, keys.join(shared, ["band", "key"], "left_semi"), "members")
+
+    # Whole sets only of texts that share a minimum; the shingles of others are not needed again.
+    def whole(batches):
+        for b in batches:
+            sets = [shingle_set(x.as_py(), shingle).tobytes() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["text_sha256", "shingles"])
+
+    asked = src.select("text_sha256", "b").join(members.select("text_sha256").distinct(), "text_sha256", "left_semi")
+    sets = asked.groupBy("text_sha256").agg(F.first("b").alias("b")).mapInArrow(whole, "text_sha256 string, shingles binary")
+    members = members.join(sets, "text_sha256").select("band", "key", "tid", "shingles")
 
     def search(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         t = pa.Table.from_batches(held)
-        band, key, rid, fp = (t.column(k).to_numpy() for k in range(4))
-        order = np.lexsort((rid, fp, key, band))
-        band, key, rid, fp = band[order], key[order], rid[order], fp[order].view(np.uint64)
-        sets = t.column(4)
+        band, key, tid = (t.column(k).to_numpy() for k in range(3))
+        order = np.lexsort((tid, key, band))
+        band, key, tid = band[order], key[order], tid[order]
+        sets = t.column(3)
         at = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])))
-        for s, e in zip(at.tolist(), [*at[1:].tolist(), len(rid)]):
+        for s, e in zip(at.tolist(), [*at[1:].tolist(), len(tid)]):
             if e - s < 2:
                 continue
-            kept: dict[int, np.ndarray] = {}
-
-            def set_of(i: int, s=s, kept=kept) -> np.ndarray:
-                if i not in kept:
-                    kept[i] = np.frombuffer(sets[int(order[s + i])].as_py(), "<u4")
-                return kept[i]
-
-            i, j = joined(fp[s:e], radius, lambda i, j: jaccard(set_of(i), set_of(j)) >= similarity)
+            i, j = similar_pairs([sets[k].as_py() for k in order[s:e].tolist()], similarity)
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(rid[s + i]), pa.array(rid[s + j])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(tid[s + i]), pa.array(tid[s + j])], names=["a", "b"])
 
     dealt = members.repartition("band", "key")
     found = components.components(spark, dealt.mapInArrow(search, "a long, b long"))
-    return C.stage(spark, all_rows.select("doc_id", "text_sha256", "rid").join(found, F.col("rid") == F.col("node"), "left").select("doc_id", "text_sha256", "rid", F.coalesce("root", "rid").alias("component")), "similar")
+    named = texts.select("text_sha256", "tid").join(found, F.col("tid") == F.col("node"), "left").select("text_sha256", F.coalesce("root", "tid").alias("component"))
+    return C.stage(spark, all_rows.select("doc_id", "text_sha256", "rid").join(named, "text_sha256"), "similar")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
