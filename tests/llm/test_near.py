@@ -60,3 +60,21 @@ def test_a_line_repeated_in_one_copy(spark):
     assert all(similarity(shingles(x), shingles(y)) > 0.95 for x, y in zip(texts[::2], texts[1::2]))
     got = components(spark, texts)
     assert all(x == y for x, y in zip(got[::2], got[1::2])) and len(set(got)) == 30
+
+
+def test_long_texts_are_judged_whole(spark):
+    """Pairs of some 2,500 shingles just above and just under 0.8, closer than a sample of 512 could tell."""
+    r = np.random.default_rng(2)
+    texts, want = [], []
+    for k in range(40):
+        words = [f"w{x}" for x in r.integers(0, 10**6, 2500)]
+        n = 2496  # shingles; a changed word in the middle changes five of them, and c of them give (n - 5c) / (n + 5c)
+        c = next(c for c in range(500) if (n - 5 * c) / (n + 5 * c) < 0.8) - k % 2
+        other = list(words)
+        for i in range(c):
+            other[10 + 6 * i] = f"x{k}-{i}"
+        texts += [" ".join(words), " ".join(other)]
+        want.append(bool(k % 2))
+    assert [similarity(shingles(x), shingles(y)) >= 0.8 for x, y in zip(texts[::2], texts[1::2])] == want
+    got = components(spark, texts)
+    assert [x == y for x, y in zip(got[::2], got[1::2])] == want
