@@ -1,18 +1,25 @@
 """Personal data: patterns, and terms that give away what the patterns protect.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers. What they spell are the protected
-entities. Terms that stand near an entity are then judged by the corpus: with N rows, an entity e in n_e of them, a term t
-in n_t, and t near e in n_et, the pointwise mutual information log2(n_et N / (n_e n_t)) says how many of the entity's
-log2(N / n_e) bits the term discloses. From a share ``alpha`` of them on, and with ``support`` different contexts behind
-it, a term goes: it is cut to its first letters where they disclose less than that, and removed where they do not.
-
-All of it is DataFrame code. Windows bound the pairs of a row by the entities it holds; corpus counts are partial sums
-over rows, shuffled once a term and task.
+entities, and so are the parts they share with others: an address's domain and the words before its @, the first three
+parts of an IP address, the first six digits of a card or phone number. Terms that stand in one text with an entity are
+then judged by the corpus: with N rows, an entity e in n_e of them, a term t in n_t, and both in n_et, the pointwise
+mutual information log2(n_et N / (n_e n_t)) says how many of the entity's log2(N / n_e) bits the term discloses. From a
+share ``alpha`` of them on a term goes, wherever it stands in the corpus: it is cut to its first letters where they
+disclose less than that, and removed where they do not.
+
+What counts as evidence are k texts that are not near copies of one another. They must be more than chance gives: with
+x = n_e n_t / N expected, k log(k / x) - k + x has to exceed the log of the number of pairs judged by 3. One text never
+does, as each of its rare words would then disclose whatever stands in it; two can.
+
+All of it is DataFrame code. Corpus counts are partial sums over rows, shuffled once a term and task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -25,6 +32,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{N}]{3,}"
+MARK = "\uffff"  # what letters and digits of base spans become where terms are looked for
+FREE = r"(?<![\p{L}\p{N}\uFFFF])[\p{L}\p{N}]{3,}+(?![\p{L}\p{N}\uFFFF])"
 
 SPAN = "array<struct<kind:int,s:int,e:int,v:string>>"
 
@@ -100,61 +109,94 @@ def _head(term: Column, letters: int) -> Column:
     return F.concat(F.substring(term, 1, letters), F.lit("*"))
 
 
-def near_terms(held: DataFrame, reach: int) -> DataFrame:
-    """rid, entity, ctx, term, s, e: the terms within ``reach`` code points of a base span. Terms cut by the reach or
-    inside a base span don't count."""
-    one = held.select("rid", "_text", "spans", F.explode("spans").alias("x"))
-    entity = F.concat(F.element_at(F.array(*(F.lit(k) for k in KINDS)), F.col("x.kind") + 1), F.lit(":"), F.lower(F.col("x.v")))
-    lo = F.greatest(F.lit(0), F.col("x.s") - reach)
-    one = one.select("rid", "spans", entity.alias("entity"), lo.alias("lo"), F.col("x.s").alias("es"), F.col("x.e").alias("ee"), F.length("_text").alias("n"), F.substring(F.col("_text"), lo + 1, F.col("x.e") + reach - lo).alias("ctx"))
-    one = one.withColumn("found", _found(F.col("ctx"), TERM, F.lit(True)))
-    placed = one.withColumn("t", F.explode(_placed(F.col("found"), 4))).withColumn("s", F.col("lo") + F.col("t.s")).withColumn("e", F.col("lo") + F.col("t.e"))
-    whole = ((F.col("s") > F.col("lo")) | (F.col("lo") == 0)) & ((F.col("e") < F.col("ee") + reach) | (F.col("e") == F.col("n")))
-    free = ~F.exists("spans", lambda x: (F.col("s") < x["e"]) & (x["s"] < F.col("e")))
-    return placed.where(whole & free).select("rid", "entity", F.xxhash64("ctx").alias("ctx"), F.lower(F.col("t.v")).alias("term"), "s", "e")
-
-
-def disclosing(docs: DataFrame, near: DataFrame, entities: DataFrame, rows: int, *, alpha: float, support: int, letters: int) -> DataFrame:
-    """entity, term, head_tells: terms that disclose a share of at least alpha of an entity's information, and whether
-    their first letters do so too."""
-    told = near.select("rid", "entity", "ctx", F.explode(F.array("term", _head(F.col("term"), letters))).alias("term"))
-    # a term of a row counts once, and so does a context however often it is copied
-    joint = told.groupBy("entity", "term").agg(F.count_distinct("rid").alias("n_et"), F.count_distinct("ctx").alias("contexts")).where(F.col("contexts") >= support)
-    mentioned = entities.groupBy("entity").agg(F.count_distinct("rid").alias("n_e"))
-    words = F.array_distinct(_terms(F.coalesce(F.col("text"), F.lit(""))))
-    seen = docs.select(F.explode(F.array_union(words, F.transform(words, lambda w: _head(w, letters)))).alias("term"))
+def _masked(text: Column, spans: Column) -> Column:
+    """text, as long as before, without the letters and digits of its base spans."""
+    text = F.translate(text, MARK, " ")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = F.greatest(acc["at"], x["s"])
+        hidden = F.regexp_replace(F.substring(text, s + 1, x["e"] - s), r"[\p{L}\p{N}]", MARK)
+        here = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s - acc["at"]), hidden)
+        return F.when(x["e"] <= acc["at"], acc).otherwise(F.struct(x["e"].alias("at"), here.alias("out")))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def _entities(x: Column) -> Column:
+    """What a base span spells, and its parts, each named by its kind."""
+    v = F.lower(x["v"])
+    kind = F.element_at(F.array(*(F.lit(k) for k in KINDS)), x["kind"] + 1)
+    words = F.regexp_extract_all(F.substring_index(v, "@", 1), F.lit("[a-z]{3,}"), F.lit(0))
+    parts = F.when(x["kind"] == 0, F.concat(F.array(F.concat(F.lit("@"), F.substring_index(v, "@", -1))), F.transform(words, lambda w: F.concat(w, F.lit("@")))))
+    parts = parts.when(x["kind"] == 1, F.array(F.concat(F.substring_index(v, ".", 3), F.lit(".")))).otherwise(F.array(F.concat(F.substring(_digits(v), 1, 6), F.lit("*"))))
+    return F.transform(F.concat(F.array(v), parts), lambda p: F.concat(kind, F.lit(":"), p))
+
+
+COPIES = 4  # minima by which near copies are told: two texts that share nine of ten words share one but for 0.01 %
+
+
+def told_terms(held: DataFrame, letters: int) -> tuple[DataFrame, DataFrame]:
+    """rid, entity of every row, and rid, minima, term with the terms outside of base spans and their first letters; each once a row."""
+    entities = held.select("rid", F.explode(F.array_distinct(F.flatten(F.transform("spans", _entities)))).alias("entity"))
+    free = held.select("rid", F.array_distinct(F.transform(F.regexp_extract_all(_masked(F.col("_text"), F.col("spans")), F.lit(FREE), F.lit(0)), F.lower)).alias("w"))
+    minima = F.array(*(F.array_min(F.transform("w", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(COPIES)))
+    return entities, free.select("rid", minima.alias("minima"), F.explode(F.array_distinct(F.concat("w", F.transform("w", lambda x: _head(x, letters))))).alias("term"))
+
+
+def disclosing(spark: SparkSession, base: DataFrame, rows: int, *, alpha: float, support: int, letters: int) -> DataFrame:
+    """term, kind: terms that disclose a share of at least alpha of an entity's information, and whether to cut or remove
+    them. Of one term and several entities the strictest verdict holds."""
+    entities, told = told_terms(base.where("size(spans) > 0"), letters)
+    entities = C.stage(spark, entities, "entities")
+    near = C.stage(spark, entities.join(told, "rid"), "near")
+    pairs = max(near.count(), 1)  # not fewer than the pairs judged
+    words = F.array_distinct(_terms(F.col("_text")))
+    seen = base.select(F.explode(F.array_distinct(F.concat(words, F.transform(words, lambda w: _head(w, letters))))).alias("term"))
     corpus = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    mentioned = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    joint = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where("n_et > 1")
     all_rows = F.lit(float(rows))
     pmi = F.log2(F.col("n_et") * all_rows / (F.col("n_e") * F.col("n_t")))
     info = F.log2(all_rows / F.col("n_e"))
-    scored = joint.join(corpus, "term").join(mentioned, "entity").where((info > 0) & (pmi >= alpha * info)).select("entity", "term")
+    told_enough = joint.join(corpus, "term").join(mentioned, "entity").where((info > 0) & (pmi >= alpha * info))
+    told_enough = C.stage(spark, told_enough.select("entity", "term", "n_e", "n_t"), "told")
+    # a near copy of a text adds nothing: of each minimum the different ones count, and the least of these counts
+    alike = near.join(told_enough.select("entity", "term"), ["entity", "term"], "left_semi").select("entity", "term", F.posexplode("minima").alias("m", "v")).distinct()
+    alike = alike.groupBy("entity", "term", "m").agg(F.count(F.lit(1)).alias("k")).groupBy("entity", "term").agg(F.min("k").alias("k"))
+    k, x = F.col("k").cast("double"), F.col("n_e") * F.col("n_t") / all_rows
+    beyond = (k > x) & (k * F.log(k / x) - k + x > math.log(pairs) + 3)
+    scored = told_enough.join(alike, ["entity", "term"]).where((F.col("k") >= support) & beyond).select("entity", "term")
     full = scored.where(~F.endswith("term", F.lit("*"))).withColumn("head", _head(F.col("term"), letters))
-    heads = scored.where(F.endswith("term", F.lit("*"))).select("entity", F.col("term").alias("head"), F.lit(True).alias("told"))
-    return full.join(heads, ["entity", "head"], "left").select("entity", "term", F.coalesce("told", F.lit(False)).alias("head_tells"))
+    heads = scored.where(F.endswith("term", F.lit("*"))).select("entity", F.col("term").alias("head"), F.lit(True).alias("tells"))
+    cut = F.when(F.col("tells"), F.lit(5)).otherwise(F.lit(4))
+    return full.join(heads, ["entity", "head"], "left").groupBy("term").agg(F.max(cut).alias("kind"))
+
+
+def occurrences(base: DataFrame, terms: DataFrame) -> DataFrame:
+    """rid, kind, s, e, term: every place of every row where one of the terms stands outside of base spans."""
+    some = base.select("rid", F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term")).join(terms, "term", "left_semi").select("rid").distinct()
+    rows = base.join(some, "rid").select("rid", _masked(F.col("_text"), F.col("spans")).alias("_text"))
+    at = rows.select("rid", F.posexplode(_found(F.col("_text"), FREE, F.lit(True))).alias("i", "x")).select("rid", "i", "x.gap", "x.v")
+    e = F.sum(F.col("gap") + F.length("v")).over(Window.partitionBy("rid").orderBy("i")).cast("int")
+    placed = at.select("rid", F.lower("v").alias("term"), (e - F.length("v")).alias("s"), e.alias("e"))
+    return placed.join(terms, "term").select("rid", "kind", "s", "e", "term")
 
 
-def personal_spans(spark: SparkSession, docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", reach: int = 60, alpha: float = 0.9, support: int = 3, letters: int = 3, keep_text: bool = False) -> DataFrame:
+def personal_spans(spark: SparkSession, docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", alpha: float = 0.9, support: int = 2, letters: int = 3, keep_text: bool = False) -> DataFrame:
     """doc_id, text_hash and spans of every row, by start, then kind; with keep_text the text too (staged with the spans).
 
     A null or empty text has no spans. Repeated rows are rows of their own, and copies of a text count as often as they
-    occur, but a context that is copied is one context. Other columns are ignored; an empty table gives an empty one.
+    occur, but copies and near copies are one text as evidence. Other columns are ignored; an empty table gives an empty one.
     alpha over 1 adds no terms; no row is ever without its base spans.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     src = docs.select(F.col(doc_id).alias("doc_id"), body.alias("_text"))
     found = base_spans(src)
-    held = F.size("spans") > 0
-    kept = F.col("_text") if keep_text else F.when(held, F.col("_text"))
-    base = C.stage(spark, found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("_text").alias("text_hash"), kept.alias("_text"), "spans"), "personal")
+    base = C.stage(spark, found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("_text").alias("text_hash"), "_text", "spans"), "personal")
     rows = base.count()
-    some = base.where("size(spans) > 0")
-    near = C.stage(spark, near_terms(some, reach), "near")
-    entity = F.concat(F.element_at(F.array(*(F.lit(k) for k in KINDS)), F.col("x.kind") + 1), F.lit(":"), F.lower(F.col("x.v")))
-    entities = some.select("rid", F.explode("spans").alias("x")).select("rid", entity.alias("entity"))
-    terms = C.stage(spark, disclosing(docs.select(F.col(text).alias("text")), near, entities, max(rows, 1), alpha=alpha, support=support, letters=letters), "terms")
-    cut = F.when(F.col("head_tells"), F.lit(5)).otherwise(F.lit(4))
-    # of one term near several entities the strictest verdict holds
-    added = near.join(terms, ["entity", "term"]).groupBy("rid", "s", "e", "term").agg(F.max(cut).alias("kind"))
+    terms = C.stage(spark, disclosing(spark, base, max(rows, 1), alpha=alpha, support=support, letters=letters), "terms")
+    added = occurrences(base, terms)
     added = added.groupBy("rid").agg(F.collect_list(F.struct(F.col("kind"), F.col("s"), F.col("e"), F.col("term").alias("v"))).alias("more"))
     every = F.concat("spans", F.coalesce(F.col("more"), F.array().cast(SPAN)))
     order = F.array_sort(F.transform(every, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"), x["v"].alias("v"))))

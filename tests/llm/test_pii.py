@@ -123,3 +123,34 @@ def test_digest_columns(spark, tmp_path):
     got = {r.doc_id: r for r in pii.op10(spark, str(tmp_path)).collect()}
     assert (got[0].n_email, got[0].n_ip, got[0].spans) == (1, 1, "email:0:6,ip:11:18")
     assert got[0].base_sha256 == hashlib.sha256(b"email:0:6,ip:11:18").hexdigest() and got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def filler(n, seed):
+    r = random.Random(seed)
+    return [" ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(12)) for _ in range(n)]
+
+
+def added(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.personal_spans(spark, docs).collect()}
+    return [{t[x.s : x.e].lower() for x in got[i] if x.kind >= 4} for i, t in enumerate(texts)]
+
+
+def test_rare_entities_are_judged(spark):
+    """Two texts name a person beside an address; two others an employer beside different addresses of one domain."""
+    a = filler(2004, 5)
+    a[10] += " Zorblax p@one.example"
+    a[700] = "Zorblax " + a[700] + " p@one.example"
+    a[900] += " Quuxcorp ann@two.example"
+    a[1500] += " ben@two.example Quuxcorp"
+    a[1800] += " Lonely q@three.example"  # one text is no evidence
+    got = added(spark, a)
+    assert got[10] == got[700] == {"zorblax"} and got[900] == got[1500] == {"quuxcorp"} and not got[1800]
+    assert not any(x for i, x in enumerate(got) if i not in (10, 700, 900, 1500))
+
+
+def test_near_copies_are_no_evidence(spark):
+    a = filler(2000, 6)
+    long = " ".join(filler(10, 7))
+    a[3], a[4], a[5] = (f"{long} Zorblax p@one.example {w}" for w in ("uuuu", "vvvv", "uuuu"))
+    assert not any(added(spark, a))
