@@ -9,8 +9,8 @@ share ``alpha`` of them on a term goes, wherever it stands in the corpus: it is
 disclose less than that, and removed where they do not.
 
 What counts as evidence are k texts that are not near copies of one another. They must be more than chance gives: with
-x = n_e n_t / N expected, k log(k / x) - k + x has to exceed the log of the number of pairs judged by 3. One text never
-does, as each of its rare words would then disclose whatever stands in it; two can.
+x = n_e n_t / N expected, k log(k / x) - k + x has to exceed the log of the number of pairs judged by 3. One text is no
+evidence, as each of its rare words would then disclose whatever stands in it; two can be.
 
 All of it is DataFrame code. Corpus counts are partial sums over rows, shuffled once a term and task.
 """
@@ -136,51 +136,57 @@ def _entities(x: Column) -> Column:
 COPIES = 4  # minima by which near copies are told: two texts that share nine of ten words share one but for 0.01 %
 
 
-def told_terms(held: DataFrame, letters: int) -> tuple[DataFrame, DataFrame]:
-    """rid, entity of every row, and rid, minima, term with the terms outside of base spans and their first letters; each once a row."""
-    entities = held.select("rid", F.explode(F.array_distinct(F.flatten(F.transform("spans", _entities)))).alias("entity"))
-    free = held.select("rid", F.array_distinct(F.transform(F.regexp_extract_all(_masked(F.col("_text"), F.col("spans")), F.lit(FREE), F.lit(0)), F.lower)).alias("w"))
+def told_terms(spark: SparkSession, base: DataFrame, letters: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows with base spans: rid, minima, the entities that two different texts hold, and the terms outside of base
+    spans with their first letters. And n_e of each such entity. Others have no evidence to give."""
+    free = F.transform(F.regexp_extract_all(_masked(F.col("_text"), F.col("spans")), F.lit(FREE), F.lit(0)), F.lower)
+    held = base.where("size(spans) > 0").select("rid", "text_hash", F.array_distinct(F.flatten(F.transform("spans", _entities))).alias("entities"), F.array_distinct(free).alias("w"))
+    held = C.stage(spark, held, "held")
+    one = held.select("rid", "text_hash", F.explode("entities").alias("entity"))
+    mentioned = one.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), (F.min("text_hash") != F.max("text_hash")).alias("two")).where("two").drop("two")
+    mentioned = C.stage(spark, mentioned, "entities")
+    known = one.join(mentioned.select("entity"), "entity").groupBy("rid").agg(F.collect_list("entity").alias("entities"))
     minima = F.array(*(F.array_min(F.transform("w", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(COPIES)))
-    return entities, free.select("rid", minima.alias("minima"), F.explode(F.array_distinct(F.concat("w", F.transform("w", lambda x: _head(x, letters))))).alias("term"))
+    terms = F.array_distinct(F.concat("w", F.transform("w", lambda x: _head(x, letters))))
+    return C.stage(spark, held.select("rid", "w").join(known, "rid").select("rid", minima.alias("minima"), "entities", terms.alias("terms")), "told"), mentioned
 
 
-def disclosing(spark: SparkSession, base: DataFrame, rows: int, *, alpha: float, support: int, letters: int) -> DataFrame:
+def disclosing(spark: SparkSession, src: DataFrame, base: DataFrame, rows: int, *, alpha: float, support: int, letters: int) -> DataFrame:
     """term, kind: terms that disclose a share of at least alpha of an entity's information, and whether to cut or remove
     them. Of one term and several entities the strictest verdict holds."""
-    entities, told = told_terms(base.where("size(spans) > 0"), letters)
-    entities = C.stage(spark, entities, "entities")
-    near = C.stage(spark, entities.join(told, "rid"), "near")
-    pairs = max(near.count(), 1)  # not fewer than the pairs judged
+    told, mentioned = told_terms(spark, base, letters)
+    pairs = told.agg(F.sum(F.size("entities").cast("long") * F.size("terms"))).first()[0] or 1  # not fewer than are judged
+    near = told.select("minima", "terms", F.explode("entities").alias("entity")).select("minima", "entity", F.explode("terms").alias("term"))
     words = F.array_distinct(_terms(F.col("_text")))
-    seen = base.select(F.explode(F.array_distinct(F.concat(words, F.transform(words, lambda w: _head(w, letters))))).alias("term"))
+    seen = src.select(F.explode(F.array_distinct(F.concat(words, F.transform(words, lambda w: _head(w, letters))))).alias("term"))
     corpus = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    mentioned = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     joint = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where("n_et > 1")
     all_rows = F.lit(float(rows))
     pmi = F.log2(F.col("n_et") * all_rows / (F.col("n_e") * F.col("n_t")))
     info = F.log2(all_rows / F.col("n_e"))
-    told_enough = joint.join(corpus, "term").join(mentioned, "entity").where((info > 0) & (pmi >= alpha * info))
-    told_enough = C.stage(spark, told_enough.select("entity", "term", "n_e", "n_t"), "told")
+    enough = joint.join(corpus, "term").join(mentioned, "entity").where((info > 0) & (pmi >= alpha * info))
+    enough = C.stage(spark, enough.select("entity", "term", "n_e", "n_t"), "enough")
     # a near copy of a text adds nothing: of each minimum the different ones count, and the least of these counts
-    alike = near.join(told_enough.select("entity", "term"), ["entity", "term"], "left_semi").select("entity", "term", F.posexplode("minima").alias("m", "v")).distinct()
+    alike = near.join(enough.select("entity", "term"), ["entity", "term"], "left_semi").select("entity", "term", F.posexplode("minima").alias("m", "v")).distinct()
     alike = alike.groupBy("entity", "term", "m").agg(F.count(F.lit(1)).alias("k")).groupBy("entity", "term").agg(F.min("k").alias("k"))
     k, x = F.col("k").cast("double"), F.col("n_e") * F.col("n_t") / all_rows
     beyond = (k > x) & (k * F.log(k / x) - k + x > math.log(pairs) + 3)
-    scored = told_enough.join(alike, ["entity", "term"]).where((F.col("k") >= support) & beyond).select("entity", "term")
+    scored = enough.join(alike, ["entity", "term"]).where((F.col("k") >= support) & beyond).select("entity", "term")
     full = scored.where(~F.endswith("term", F.lit("*"))).withColumn("head", _head(F.col("term"), letters))
     heads = scored.where(F.endswith("term", F.lit("*"))).select("entity", F.col("term").alias("head"), F.lit(True).alias("tells"))
     cut = F.when(F.col("tells"), F.lit(5)).otherwise(F.lit(4))
     return full.join(heads, ["entity", "head"], "left").groupBy("term").agg(F.max(cut).alias("kind"))
 
 
-def occurrences(base: DataFrame, terms: DataFrame) -> DataFrame:
-    """rid, kind, s, e, term: every place of every row where one of the terms stands outside of base spans."""
-    some = base.select("rid", F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term")).join(terms, "term", "left_semi").select("rid").distinct()
-    rows = base.join(some, "rid").select("rid", _masked(F.col("_text"), F.col("spans")).alias("_text"))
-    at = rows.select("rid", F.posexplode(_found(F.col("_text"), FREE, F.lit(True))).alias("i", "x")).select("rid", "i", "x.gap", "x.v")
-    e = F.sum(F.col("gap") + F.length("v")).over(Window.partitionBy("rid").orderBy("i")).cast("int")
-    placed = at.select("rid", F.lower("v").alias("term"), (e - F.length("v")).alias("s"), e.alias("e"))
-    return placed.join(terms, "term").select("rid", "kind", "s", "e", "term")
+def occurrences(src: DataFrame, terms: DataFrame) -> DataFrame:
+    """text_hash, kind, s, e, term: every place of every text where one of the terms stands outside of base spans."""
+    some = src.select(F.xxhash64("_text").alias("text_hash"), F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term")).join(terms, "term", "left_semi").select("text_hash").distinct()
+    texts = src.withColumn("text_hash", F.xxhash64("_text")).join(some, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    rows = base_spans(texts).select("text_hash", _masked(F.col("_text"), F.col("spans")).alias("_text"))
+    at = rows.select("text_hash", F.posexplode(_found(F.col("_text"), FREE, F.lit(True))).alias("i", "x")).select("text_hash", "i", "x.gap", "x.v")
+    e = F.sum(F.col("gap") + F.length("v")).over(Window.partitionBy("text_hash").orderBy("i")).cast("int")
+    placed = at.select("text_hash", F.lower("v").alias("term"), (e - F.length("v")).alias("s"), e.alias("e"))
+    return placed.join(terms, "term").select("text_hash", "kind", "s", "e", "term")
 
 
 def personal_spans(spark: SparkSession, docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", alpha: float = 0.9, support: int = 2, letters: int = 3, keep_text: bool = False) -> DataFrame:
@@ -193,15 +199,16 @@ def personal_spans(spark: SparkSession, docs: DataFrame, *, text: str = "text",
     body = F.coalesce(F.col(text), F.lit(""))
     src = docs.select(F.col(doc_id).alias("doc_id"), body.alias("_text"))
     found = base_spans(src)
-    base = C.stage(spark, found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("_text").alias("text_hash"), "_text", "spans"), "personal")
+    kept = F.col("_text") if keep_text else F.when(F.size("spans") > 0, F.col("_text"))
+    base = C.stage(spark, found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("_text").alias("text_hash"), kept.alias("_text"), "spans"), "personal")
     rows = base.count()
-    terms = C.stage(spark, disclosing(spark, base, max(rows, 1), alpha=alpha, support=support, letters=letters), "terms")
-    added = occurrences(base, terms)
-    added = added.groupBy("rid").agg(F.collect_list(F.struct(F.col("kind"), F.col("s"), F.col("e"), F.col("term").alias("v"))).alias("more"))
+    terms = C.stage(spark, disclosing(spark, src, base, max(rows, 1), alpha=alpha, support=support, letters=letters), "terms")
+    added = occurrences(src.select("_text"), terms)
+    added = added.groupBy("text_hash").agg(F.collect_list(F.struct(F.col("kind"), F.col("s"), F.col("e"), F.col("term").alias("v"))).alias("more"))
     every = F.concat("spans", F.coalesce(F.col("more"), F.array().cast(SPAN)))
     order = F.array_sort(F.transform(every, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"), x["v"].alias("v"))))
     cols = ["doc_id", "text_hash", *(["_text"] if keep_text else [])]
-    return base.join(added, "rid", "left").select(*cols, order.alias("spans"))
+    return base.join(added, "text_hash", "left").select(*cols, order.alias("spans"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, *, letters: int = 3, **how) -> DataFrame:

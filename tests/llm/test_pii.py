@@ -154,3 +154,19 @@ def test_near_copies_are_no_evidence(spark):
     long = " ".join(filler(10, 7))
     a[3], a[4], a[5] = (f"{long} Zorblax p@one.example {w}" for w in ("uuuu", "vvvv", "uuuu"))
     assert not any(added(spark, a))
+
+
+def test_disclosing_terms_go_everywhere(spark):
+    """Far from the entity, twice in a text, and in texts without it; not inside of a base span."""
+    a = filler(2000, 8)
+    far = " ".join(filler(3, 9))  # more than 60 code points
+    for i in range(0, 200, 10):
+        a[i] = f"Zorblax {a[i]} {a[i + 1]} {a[i + 2]} z@mail.example {a[i + 3]}"
+    a[40] += f" {far} (ZORBLAX)"
+    a[1001] += " zorblax"
+    a[1002] = "zorblax@other.example " + a[1002]
+    got = added(spark, a)
+    assert all(x == ({"zorblax"} if i in (*range(0, 200, 10), 1001) else set()) for i, x in enumerate(got))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(a)], "doc_id long, text string")
+    out = {r.doc_id: r.sanitised for r in pii.sanitise(spark, docs).collect()}
+    assert not any("zorblax" in t.lower() for t in out.values())
