@@ -26,12 +26,15 @@ def travels(name: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one of our own only where the cluster names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The cluster's shared folder. Where none is named, local mode gets one of our own; a cluster has to name one, as a
+    folder of one machine is not seen by the others."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quadlake-"))
-        found = spark.sparkContext.getCheckpointDir()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quadlake-"))
+        found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -57,6 +60,22 @@ def unstage(spark: SparkSession, *tables: DataFrame) -> None:
             drop_path(spark, path)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names like these that none of the taken ones equals, whatever its case."""
+    low, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n.lower() in low:
+            n += "_"
+        low.add(n.lower())
+        out.append(n)
+    return out
+
+
+def columns(names: list[str]) -> list:
+    """Columns by name, dots and backquotes included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -91,10 +110,12 @@ def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"({WORD})")), F.lit(0)).cast("long")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Texts have no longest length; Arrow batches of few rows bound what a Python worker holds."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small(batches, rows: int = 512):
+    """Slices of few rows of Arrow batches: texts have no longest length, and a worker holds what it makes of a slice, not
+    of a batch. Spark bounds the batches themselves by bytes (spark.sql.execution.arrow.maxBytesPerBatch)."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 travels(__name__)

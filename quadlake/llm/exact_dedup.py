@@ -93,34 +93,41 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", d
     also tie in doc_id one stays (the last in file order). Null and empty texts are equal.
     """
     named = identities(spark, docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), **how)
-    groups = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    # staged, so that both sides of the join are plain shuffles, which AQE splits where a group is large
+    groups = C.stage(spark, named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size")), "groups")
     return named.join(groups, ["level", "name"]).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "text_sha256", "rid")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns as they were. Rows that agree in doc_id and text count once."""
-    found = exact_duplicates(spark, docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    return one_of_each(spark, docs, found, sha)
-
-
-def one_of_each(spark: SparkSession, docs: DataFrame, keep: DataFrame, sha: Column) -> DataFrame:
-    """docs reduced to the pairs (_keep = doc_id, _sha = sha of the text); of rows equal in both, one."""
-    cols = docs.columns
-    keep = C.stage(spark, keep, "keep")
-    d = docs.withColumn("_sha", sha)
-    twice = C.stage(spark, d.select(F.col("doc_id").alias("_keep"), "_sha").groupBy("_keep", "_sha").count().where("count > 1").drop("count"), "twice")
-    on = lambda k: d["doc_id"].eqNullSafe(k["_keep"]) & (d["_sha"] == k["_sha"])
+    found = exact_duplicates(spark, docs).where("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("sha"))
+    return one_of_each(spark, docs, found)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """docs reduced to the pairs of doc_id and SHA-256 of the text that keep names (keep, sha); of rows equal in both, one.
+    All columns of docs as they were, whatever their names."""
+    cols = C.columns(docs.columns)
+    k_, h_, s_, row_ = C.fresh(docs.columns, "keep", "kept_sha", "sha", "row")
+    keep = C.stage(spark, keep.select(F.col("keep").alias(k_), F.col("sha").alias(h_)), "keep")
+    d = docs.withColumn(s_, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    twice = C.stage(spark, d.select(F.col("doc_id").alias(k_), F.col(s_).alias(h_)).groupBy(k_, h_).count().where("count > 1").drop("count"), "twice")
+    on = F.col("doc_id").eqNullSafe(F.col(k_)) & (F.col(s_) == F.col(h_))
     if not twice.head(1):
-        return d.join(keep, on(keep), "left_semi").select(*cols)
-    once = keep.join(twice, keep["_keep"].eqNullSafe(twice["_keep"]) & (keep["_sha"] == twice["_sha"]), "left_anti")
-    more = keep.join(twice, keep["_keep"].eqNullSafe(twice["_keep"]) & (keep["_sha"] == twice["_sha"]), "left_semi")
-    # Only rows that are repeated as they are get grouped; any one of them will do, so the first that a task meets.
-    rest = d.join(more, on(more), "left_semi").groupBy("doc_id", "_sha").agg(F.min(F.struct(*cols)).alias("_row")).select("_row.*")
-    return d.join(once, on(once), "left_semi").select(*cols).unionByName(rest)
+        return d.join(keep, on, "left_semi").select(*cols)
+    same = lambda: keep[k_].eqNullSafe(twice[k_]) & (keep[h_] == twice[h_])
+    once, more = keep.join(twice, same(), "left_anti"), keep.join(twice, same(), "left_semi")
+    # Only rows that agree in both get grouped; of what else differs in them, the least as JSON stays.
+    rest = d.join(more, on, "left_semi").groupBy("doc_id", s_).agg(F.min_by(F.struct(*cols), F.to_json(F.struct(*cols))).alias(row_)).select(f"{row_}.*")
+    return d.join(once, on, "left_semi").select(*cols).unionByName(rest)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, with the doc_id that stays of its group of equal texts.
+
+    Null and empty texts are equal; of ties in doc_id one row is kept; a null doc_id is smaller than any other; further
+    columns are not read; no documents give no rows.
+    """
     return exact_duplicates(spark, C.table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .common import small
 
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 GROUP, BLOCK, SIMPLE, TIME = 0xA0, 0xA1, 0xA3, 0xE7
@@ -306,7 +307,7 @@ def packet_table(docs: DataFrame, media: str = "media", keep: tuple[str, ...] =
     src = docs.select(*keep, F.col(media).alias("_media")).where("_media IS NOT NULL")
 
     def rows(batches):
-        for b in batches:
+        for b in small(batches):
             cols: list[list] = [[] for _ in range(7)]
             index: list[int] = []
             for i, x in enumerate(b.column(len(keep)).to_pylist()):
@@ -339,7 +340,7 @@ def store(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     src = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_body"))
 
     def rows(batches):
-        for b in batches:
+        for b in small(batches):
             n, media = [], []
             for x in b.column(len(keep)):
                 x = x.as_py()
@@ -355,7 +356,7 @@ def digest(stored: DataFrame) -> DataFrame:
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def rows(batches):
-        for b in batches:
+        for b in small(batches):
             out: list[list] = [[] for _ in range(6)]
             for x in b.column(2):
                 x = x.as_py()
@@ -370,7 +371,11 @@ def digest(stored: DataFrame) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    C.small_batches(spark)
+    """A row a document, with digests and features of its stored form, read back.
+
+    Null and empty texts are one frame of blanks; repeated rows repeat, and equal texts have equal files; null doc_ids stay
+    null; further columns are not read; no documents give no rows.
+    """
     stored = C.stage(spark, store(C.table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
     return digest(stored)
 

@@ -92,7 +92,8 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[float, ...] = (5
     named = plan.select(F.col("source").alias("_s"), "source_size", "target", "x_unit", "lam", "full")
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_hash")), 11).cast("double") / F.lit(float(1 << 53))
     rated = rows.join(named, F.col("source").eqNullSafe(F.col("_s"))).withColumn("rate", F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("full"), F.lit(float(most))).otherwise(_rate(F.col("lam"), F.col("size") / F.col("x_unit"), most))).withColumn("u", u)
-    copies = lambda phase: F.floor(F.col("rate") + F.pmod(F.col("u") + phase, F.lit(1.0)))
+    # rate + u may round up to a whole number more
+    copies = lambda phase: F.least(F.floor(F.col("rate") + F.pmod(F.col("u") + phase, F.lit(1.0))), F.lit(int(most)))
     tried = rated.groupBy("_s", "target").agg(*(F.sum(F.col("size") * copies(F.lit(k / PHASES))).alias(f"p{k}") for k in range(PHASES)))
     best = F.least(*(F.struct(F.abs(F.col(f"p{k}") - F.col("target")).alias("off"), F.lit(k / PHASES).alias("phase")) for k in range(PHASES)))["phase"]
     phases = C.stage(spark, tried.select(F.col("_s").alias("_p"), best.alias("phase")), "phases")
@@ -101,15 +102,20 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[float, ...] = (5
     return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
 
 
-def take(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, all columns as they were."""
-    cols = docs.columns
-    n = mix(spark, docs, **how).groupBy("doc_id", "source", "text_hash").agg(F.max("copies").alias("_copies"))
-    n = n.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), "_copies")
-    d = docs.withColumn("_th", F.xxhash64("text"))
-    d = d.join(n, d["doc_id"].eqNullSafe(n["_d"]) & d["source"].eqNullSafe(n["_s"]) & (d["_th"] == n["_h"])).where("_copies > 0")
-    return d.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*cols)
+def take(spark: SparkSession, docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
+    """The mix itself: every row of docs as often as it is taken, all columns as they were, whatever their names."""
+    d_, s_, h_, n_, th_, i_ = C.fresh(docs.columns, "d", "s", "h", "copies", "th", "i")
+    n = mix(spark, docs, text=text, doc_id=doc_id, source=source, **how).groupBy("doc_id", "source", "text_hash").agg(F.max("copies").alias("copies"))
+    n = C.stage(spark, n.where("copies > 0").select(F.col("doc_id").alias(d_), F.col("source").alias(s_), F.col("text_hash").alias(h_), F.col("copies").alias(n_)), "copies")
+    d = docs.withColumn(th_, F.xxhash64(text))
+    d = d.join(n, F.col(doc_id).eqNullSafe(F.col(d_)) & F.col(source).eqNullSafe(F.col(s_)) & (F.col(th_) == F.col(h_)))
+    return d.withColumn(i_, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n_)))).select(*C.columns(docs.columns))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document with the words that the mix takes of it.
+
+    A null text has no words and is taken once, at no cost; a null source is one, the last; repeated rows are taken alike;
+    further columns are not read; no documents give no rows.
+    """
     return mix(spark, C.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")

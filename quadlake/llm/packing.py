@@ -2,7 +2,9 @@
 
 A document goes where the sum, over residual gaps, of the squared number of open bins with that gap becomes smallest:
 into a bin of gap g the sum changes by 2 (N[g - s] - N[g]) + 2, or by 1 - 2 N[g] where it fills the bin, and in a new bin
-by 2 N[C - s] + 1. Only the counts by gap matter, so a placement is one pass over at most C numbers.
+by 2 N[C - s] + 1. Only the counts by gap matter, so a placement is one pass over at most C numbers. Of choices that change
+the sum alike the smallest gap is taken, and a new bin only where it is smaller than all (a change of odd size, which a bin
+that is not filled cannot have).
 
 Documents are dealt at random into groups of bounded size, packed side by side; within a group long pieces come first,
 ties in size in row order. A group leaves a few open bins, which is a small share of its tens of thousands.
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from . import tokens
+from .common import small
 
 PIECES = "rid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -32,15 +35,14 @@ def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     used = 0
     for i in np.argsort(-sizes, kind="stable").tolist():
         s = int(sizes[i])
-        g = 0
+        # change of the sum in a bin of each gap s .. capacity - 1, filled where the gap is s, and in a new bin
+        g, least = 0, 2 * int(count[capacity - s]) + 1 if s < capacity else 0
         if s < capacity:
-            # change of the sum, halved and without what all choices share, for the gaps s .. capacity - 1
-            cost = count[0 : capacity - s] - count[s:capacity]
-            cost[0] = -count[s]
-            cost[0] -= 1 if count[s] else 0  # a filled bin leaves the count: one square less
-            cost[count[s:capacity] == 0] = 1 << 40
-            k = int(cost.argmin())
-            if cost[k] <= count[capacity - s]:
+            change = 2 * (count[0 : capacity - s] - count[s:capacity]) + 2
+            change[0] = 1 - 2 * count[s]
+            change[count[s:capacity] == 0] = 1 << 40
+            k = int(change.argmin())
+            if change[k] <= least:
                 g = k + s
         if g:
             b = open_at[g].pop()
@@ -57,12 +59,11 @@ def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(spark: SparkSession, docs: DataFrame, *, tokenizer: str, cut: str, end_id: int, capacity: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A staged row a piece (PIECES). Only documents longer than capacity are cut; their first piece may be shorter."""
-    C.small_batches(spark)
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def rows(batches):
         enc, end = tokens.encoder(tokenizer, cut), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in small(batches):
             out: list[list] = [[] for _ in range(5)]
             for d, x in zip(b.column(0).to_pylist(), enc(b.column(1).to_pylist()), strict=True):
                 x += end
@@ -104,6 +105,11 @@ def pack_documents(spark: SparkSession, docs: DataFrame, *, tokenizer: str, cut:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a piece of every document, with its sequence and place.
+
+    Null and empty texts are their end id alone; repeated rows and null doc_ids are packed like others; pieces of one size
+    are placed in row order; further columns are not read; no documents give no rows.
+    """
     return pack_public(spark, C.table(spark, sf_dir, "documents"))
 
 

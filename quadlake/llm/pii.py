@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -67,16 +67,25 @@ def _found(text: Column, pattern: str, gate: Column) -> Column:
     return F.when(gate, F.zip_with(gaps, got, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("v"))))
 
 
-def _placed(found: Column, kind: int) -> Column:
-    """Gaps summed up to places; each match knows where it starts and ends, in code points."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+def _placed(found: Column, kind, keep=None, room: int = 256) -> Column:
+    """Gaps summed up to places; each match that is kept knows where it starts and ends, in code points. kind is a number or
+    a function of a match. Matches go by in runs of ``room``, so that no long array is copied for every match."""
+    kind_of = kind if callable(kind) else lambda x: F.lit(kind)
+    none = F.array().cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["gap"]
         e = s + F.length(x["v"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
+        more = F.concat(acc["out"], F.array(F.struct(kind_of(x).alias("kind"), s.alias("s"), e.alias("e"), x["v"].alias("v"))))
+        return F.struct(e.alias("at"), (F.when(keep(x), more).otherwise(acc["out"]) if keep else more).alias("out"))
 
-    return F.coalesce(F.aggregate(found, start, step, lambda acc: acc["out"]), F.array().cast(SPAN))
+    def run(acc: Column, part: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), none.alias("out"))
+        return F.aggregate(part, start, step, lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], F.array(a["out"])).alias("out")))
+
+    runs = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(found) - 1, F.lit(room)).cast("int")), lambda k: F.slice(found, k * room + 1, F.lit(room)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    return F.coalesce(F.flatten(F.aggregate(runs, start, run, lambda acc: acc["out"])), none)
 
 
 def base_spans(docs: DataFrame, text: str = "_text") -> DataFrame:
@@ -102,7 +111,8 @@ def base_spans(docs: DataFrame, text: str = "_text") -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    """Terms as they are found in a text, each then in lower case: that may add a mark, which would end a term."""
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
 
 
 def _head(term: Column, letters: int) -> Column:
@@ -178,15 +188,14 @@ def disclosing(spark: SparkSession, src: DataFrame, base: DataFrame, rows: int,
     return full.join(heads, ["entity", "head"], "left").groupBy("term").agg(F.max(cut).alias("kind"))
 
 
-def occurrences(src: DataFrame, terms: DataFrame) -> DataFrame:
-    """text_hash, kind, s, e, term: every place of every text where one of the terms stands outside of base spans."""
-    some = src.select(F.xxhash64("_text").alias("text_hash"), F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term")).join(terms, "term", "left_semi").select("text_hash").distinct()
-    texts = src.withColumn("text_hash", F.xxhash64("_text")).join(some, "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    rows = base_spans(texts).select("text_hash", _masked(F.col("_text"), F.col("spans")).alias("_text"))
-    at = rows.select("text_hash", F.posexplode(_found(F.col("_text"), FREE, F.lit(True))).alias("i", "x")).select("text_hash", "i", "x.gap", "x.v")
-    e = F.sum(F.col("gap") + F.length("v")).over(Window.partitionBy("text_hash").orderBy("i")).cast("int")
-    placed = at.select("text_hash", F.lower("v").alias("term"), (e - F.length("v")).alias("s"), e.alias("e"))
-    return placed.join(terms, "term").select("text_hash", "kind", "s", "e", "term")
+def occurrences(spark: SparkSession, src: DataFrame, terms: DataFrame) -> DataFrame:
+    """A staged row a text that holds terms: text_hash, and ``more``, the places where they stand outside of base spans."""
+    held = src.select(F.xxhash64("_text").alias("text_hash"), F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term")).join(terms, "term")
+    told = held.groupBy("text_hash").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("told"))
+    texts = src.withColumn("text_hash", F.xxhash64("_text")).join(told, "text_hash").groupBy("text_hash").agg(F.first("_text").alias("_text"), F.first("told").alias("told"))
+    rows = base_spans(texts).select("text_hash", "told", _found(_masked(F.col("_text"), F.col("spans")), FREE, F.lit(True)).alias("_words"))
+    kind = lambda x: F.try_element_at("told", F.lower(x["v"]))
+    return C.stage(spark, rows.select("text_hash", _placed(F.col("_words"), kind, lambda x: kind(x).isNotNull()).alias("more")), "more")
 
 
 def personal_spans(spark: SparkSession, docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", alpha: float = 0.9, support: int = 2, letters: int = 3, keep_text: bool = False) -> DataFrame:
@@ -203,8 +212,7 @@ def personal_spans(spark: SparkSession, docs: DataFrame, *, text: str = "text",
     base = C.stage(spark, found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("_text").alias("text_hash"), kept.alias("_text"), "spans"), "personal")
     rows = base.count()
     terms = C.stage(spark, disclosing(spark, src, base, max(rows, 1), alpha=alpha, support=support, letters=letters), "terms")
-    added = occurrences(src.select("_text"), terms)
-    added = added.groupBy("text_hash").agg(F.collect_list(F.struct(F.col("kind"), F.col("s"), F.col("e"), F.col("term").alias("v"))).alias("more"))
+    added = occurrences(spark, src.select("_text"), terms)
     every = F.concat("spans", F.coalesce(F.col("more"), F.array().cast(SPAN)))
     order = F.array_sort(F.transform(every, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"), x["v"].alias("v"))))
     cols = ["doc_id", "text_hash", *(["_text"] if keep_text else [])]
@@ -234,6 +242,12 @@ def _joined(spans: Column) -> Column:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, with its personal data counted and located.
+
+    Null and empty texts have none; repeated rows and null doc_ids are rows of their own; matches that overlap with others of
+    their kind go to the leftmost, and spans that start together are in the order of kinds; further columns are not read; no
+    documents give no rows.
+    """
     got = personal_spans(spark, C.table(spark, sf_dir, "documents"))
     n = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     base = _joined(F.filter("spans", lambda x: x["kind"] < 4))

@@ -49,4 +49,9 @@ def shard_rows(spark: SparkSession, docs: DataFrame, weights: list[float], *, ne
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, with its shard of 24 and its slot there.
+
+    A null text has no bytes; null doc_ids are one key; rows equal in doc_id, size and checksum take a range of slots
+    together; further columns are not read; no documents give no rows.
+    """
     return shard_rows(spark, C.table(spark, sf_dir, "documents"), [1.0] * 24)

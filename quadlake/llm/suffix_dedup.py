@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .common import small
 
 GRAM = 32
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -81,7 +82,7 @@ def anchors(src: DataFrame, length: int) -> DataFrame:
         import xxhash
 
         digest = xxhash.xxh3_128_digest
-        for b in batches:
+        for b in small(batches):
             did, tid = b.column(0).to_numpy(), b.column(1).to_numpy()
             body = [x.as_py() for x in b.column(2)]
             for group in groups(body, 1 << 21):
@@ -244,7 +245,7 @@ def _shards(contexts: DataFrame, length: int, shard_bytes: int, buckets: int) ->
 
     def rows(batches):
         held, size, last = [], 0, None
-        for b in batches:
+        for b in small(batches):
             for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 group = (x[8], x[9])
                 if size >= shard_bytes and group != last:
@@ -280,7 +281,7 @@ def _merge(strings: DataFrame, length: int) -> DataFrame:
 
     def rows(batches):
         held, last = [], None
-        for b in batches:
+        for b in small(batches):
             for bucket, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if held and bucket != last:
                     yield search(held)
@@ -298,7 +299,6 @@ def repeats(spark: SparkSession, docs: DataFrame, *, length: int = 400, text: st
     elsewhere too. A row is known by did (its doc_id, null: 0) and tid (a hash of its text)."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    C.small_batches(spark)
     src = identified(docs, text, doc_id)
     runs = C.stage(spark, anchors(src.select("did", "tid", "body"), length), "anchors")
     kinds = runs.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("did", "tid", "l", "n")).alias("rep"))
@@ -347,7 +347,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, text: str = "text",
     tail = "kept_sha256 string" if digest else KEPT.split(", n_spans long, ")[1]
 
     def rows(batches):
-        for b in batches:
+        for b in small(batches):
             sizes, gone, count, kept, ranges = [], [], [], [], []
             for x, spans in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                 x = x.as_py()
@@ -371,6 +371,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, text: str = "text",
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, with the bytes that go and a digest of those that stay.
+
+    Null and empty texts have no bytes; repeated rows are copies of each other and go whole from 400 bytes on; further
+    columns are not read; no documents give no rows.
+    """
     return remove_repeats(spark, C.table(spark, sf_dir, "documents"), digest=True)
 
 

@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from . import tokens
+from .common import small
 
 MAGIC, STEP = b"QDAC", 512
+GROUP = 1024  # parts whose files are summed up together
 
 
 def encode(ids: np.ndarray, starts: np.ndarray, doc_ids: list[int | None]) -> bytes:
@@ -130,7 +132,6 @@ def write(spark: SparkSession, docs: DataFrame, path: str, *, tokenizer: str, cu
     manifest, so a lost or repeated task leaves no trace in it. A document is never cut; a file is closed once it has
     file_ids ids. An empty table has no files.
     """
-    C.small_batches(spark)
     src = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = C.parts(src, part_bytes, C.shuffle_partitions(spark))
     src = src.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
@@ -156,7 +157,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, *, tokenizer: str, cu
             ids.clear(), sizes.clear(), raw.clear()
 
         held = 0
-        for b in batches:
+        for b in small(batches):
             for k, x in zip(b.column(0).to_pylist(), enc(b.column(1).to_pylist()), strict=True):
                 ids.append(k), raw.append(x + end), sizes.append(len(x) + 4)
                 held += sizes[-1]
@@ -169,8 +170,12 @@ def write(spark: SparkSession, docs: DataFrame, path: str, *, tokenizer: str, cu
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["part", "seq", "file", "n_docs", "n_ids", "n_bytes"])
 
     rows = C.stage(spark, src.mapInArrow(save, MANIFEST), "manifest")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
-    return C.stage(spark, rows.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "bases")
+    # of runs of parts first: only a row for GROUP parts goes through the window without a key
+    rows = rows.withColumn("run", F.expr(f"part div {GROUP}"))
+    ahead = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = rows.groupBy("run").agg(F.sum("n_ids").alias("n_ids")).select("run", ahead(Window.orderBy("run")).alias("run_base"))
+    rows = rows.withColumn("base", ahead(Window.partitionBy("run").orderBy("part", "seq"))).join(runs, "run")
+    return C.stage(spark, rows.select("part", "seq", "file", "n_docs", "n_ids", "n_bytes", (F.col("base") + F.col("run_base")).alias("base")), "bases")
 
 
 def read(spark: SparkSession, manifest: DataFrame, path: str) -> DataFrame:
@@ -179,7 +184,7 @@ def read(spark: SparkSession, manifest: DataFrame, path: str) -> DataFrame:
 
     def load(batches):
         store, top = fs.FileSystem.from_uri(path)
-        for b in batches:
+        for b in small(batches):
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with store.open_input_file(posixpath.join(top, name)) as f:
                     data = f.read_buffer()
@@ -197,11 +202,23 @@ def read(spark: SparkSession, manifest: DataFrame, path: str) -> DataFrame:
     return manifest.select("file", "base").repartition(max(1, min(files, 1 << 20)), "file").mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def store_uri(spark: SparkSession, path: str) -> str:
+    """path with the scheme of the store that Spark would take it to be in, as workers need it; s3a and s3n are s3 there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    scheme, _, rest = uri.partition(":")
+    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + (rest if rest.startswith("//") else "//" + rest)
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of all documents, read back from the files that were written.
+
+    Null and empty texts are their end id alone; repeated rows are documents of their own; null doc_ids come first;
+    further columns are not read; no documents give no rows.
+    """
     import public_tokenizers
 
-    path = C.new_path(spark, "dac")
-    path = path if "://" in path else "file://" + path
+    path = store_uri(spark, C.new_path(spark, "dac"))
     manifest = write(spark, C.table(spark, sf_dir, "documents"), path, tokenizer=public_tokenizers.path("word_bpe_49k.json"), cut="words", end_id=1)
     return read(spark, manifest, path)
 

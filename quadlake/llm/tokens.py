@@ -7,7 +7,8 @@ Both families of tokenizers used here split a text before merging, and neither m
 * ``blanks``: a blank belongs to the word after it, so a text is cut before a blank or line feed that stands alone
   between other characters. A text with any other white space is encoded whole.
 
-Each distinct piece is encoded once per cache, by the library; a test holds this against encoding whole texts.
+A text that names an added token, such as <|endoftext|>, is encoded whole, as such names are found before anything is
+split. Each distinct piece is encoded once per cache, by the library; a test holds this against encoding whole texts.
 """
 
 from __future__ import annotations
@@ -45,8 +46,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True  # a special token's name in a text is ordinary text
-        self.cut, self.entries = cut, entries
+        #: Names of added tokens match across the places where we cut, so a text with one is encoded whole.
+        added = self.t.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.cut, self.entries = "whole" if any(t.normalized for t in added) else cut, entries
         self.known, self.first = _Pieces(), _Pieces()
         vocab = self.t.get_vocab(with_added_tokens=True)
         #: With words, the ids that end a word; with blanks, those that start with one. Either tells where pieces of letters meet.
@@ -116,6 +119,11 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.cut == "whole":
             return self._raw(texts)
+        named = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if named:
+            whole = set(named)
+            out, rest = iter(self._raw([texts[i] for i in named])), iter(self([t for i, t in enumerate(texts) if i not in whole]))
+            return [next(out if i in whole else rest) for i in range(len(texts))]
         for c in (self.known, self.first):
             if len(c) > self.entries:
                 c.old = dict(c)

@@ -26,9 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .common import small
 
 LEXICON = "idiot moron stupid trash scum loser pathetic worthless disgusting clown dumbass jerk imbecile cretin vermin filth bastard retard bitch asshole whore slut fuck shit".split()
-VOTERS = 62  # a set of votes fits into a long
+SEPARATORS = " \t\n\x0b\x0c\r"
 
 
 @dataclass
@@ -47,7 +48,7 @@ class Model:
 
 
 def finder(voters: list[tuple[str, bool, int, float]]):
-    """A function from a text to (votes as a bit set, hits, words)."""
+    """A function from a text to (the voters that fire, hits, words); words are one more than separators."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
@@ -59,13 +60,14 @@ def finder(voters: list[tuple[str, bool, int, float]]):
         a.add_word(w, (len(w), v))
     if at:
         a.make_automaton()
-    rules = [(1 << k, terms.index((w, whole)), least, rate) for k, (w, whole, least, rate) in enumerate(voters)]
+    place = {t: i for i, t in enumerate(terms)}
+    rules = [(k, place[w, whole], least, rate) for k, (w, whole, least, rate) in enumerate(voters)]
 
-    def find(text: str | None) -> tuple[int, int, int]:
+    def find(text: str | None) -> tuple[list[int], int, int]:
         if not text:
-            return 0, 0, 0
+            return [], 0, 0
         low = text.lower()
-        words = text.count(" ") + text.count("\n") + 1
+        words = sum(map(text.count, SEPARATORS)) + 1
         counts: dict[int, int] = {}
         for end, (n, who) in a.iter(low) if at else ():
             if end >= n and low[end - n].isalpha():
@@ -74,16 +76,18 @@ def finder(voters: list[tuple[str, bool, int, float]]):
                 if not whole or end + 1 == len(low) or not low[end + 1].isalpha():
                     counts[i] = counts.get(i, 0) + 1
         if not counts:
-            return 0, 0, words
-        votes = sum(bit for bit, i, least, rate in rules if (c := counts.get(i, 0)) >= least and c >= rate * words)
+            return [], 0, words
+        votes = [k for k, i, least, rate in rules if (c := counts.get(i, 0)) >= least and c >= rate * words]
         return votes, sum(counts.values()), words
 
     return find
 
 
-def vectors(m: int, votes: np.ndarray, hits: np.ndarray, words: np.ndarray) -> np.ndarray:
+def vectors(m: int, votes: list[list[int]], hits: np.ndarray, words: np.ndarray) -> np.ndarray:
     """What the classifier sees: each vote, their number, hits and hits a hundred words on a log scale, and a constant."""
-    v = ((votes[:, None] >> np.arange(m)) & 1).astype(np.float64)
+    v = np.zeros((len(votes), m))
+    for row, on in zip(v, votes):
+        row[on] = 1
     return np.column_stack([v, v.sum(1), np.log1p(hits), np.log1p(100 * hits / np.maximum(words, 1)), np.ones(len(votes))])
 
 
@@ -92,17 +96,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """_y and text of the labelled rows to learn from; repeated labels of a document count as toxic if one is."""
+    """doc_id, _y and text of the labelled rows to learn from, at most ``rows``; repeated labels of a document count as toxic
+    if one is, and of rows that share a doc_id the least text is taken."""
     ok = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     some = ok.groupBy("doc_id").agg(F.max("toxic").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     some = some.select(F.col("doc_id").alias("_id"), "_y")
-    return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", F.coalesce("text", F.lit("")).alias("text"))
+    got = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
+    return got.groupBy("doc_id", "_y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 LEVELS = ((1, 0.0), (2, 0.0), (2, 0.004), (2, 0.01))  # least hits, least hits per word
 
 
-def mine(sample: DataFrame, room: int, lengths: tuple[int, ...] = (3, 4, 5, 6, 7, 8)) -> tuple[list[tuple[str, bool, int, float]], float, int]:
+def mine(sample: DataFrame, lengths: tuple[int, ...] = (3, 4, 5, 6, 7, 8)) -> tuple[list[tuple[str, bool, int, float]], float, int]:
     """Stems at a level whose documents are toxic beyond chance; the share of toxic rows; the rows. A candidate with t
     toxic of n documents stands if n KL(t/n, prior) exceeds the log of the number of candidates by 3, and t/n is over one
     half. Of stems that start one another, the one with the largest such gain becomes a voter."""
@@ -114,7 +120,7 @@ def mine(sample: DataFrame, room: int, lengths: tuple[int, ...] = (3, 4, 5, 6, 7
     prior = t_all / n_all
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), 1)
     heads = lambda w: F.array_distinct(F.array(*(F.substring(w, 1, n) for n in lengths)))
-    per_doc = sample.select("_y", (F.length(F.regexp_replace("text", r"[^ \n]", "")) + 1).alias("words"), F.monotonically_increasing_id().alias("d"), F.flatten(F.transform(words, heads)).alias("h"))
+    per_doc = sample.select("_y", (F.length("text") - F.length(F.translate("text", SEPARATORS, "")) + 1).alias("words"), F.monotonically_increasing_id().alias("d"), F.flatten(F.transform(words, heads)).alias("h"))
     per_doc = per_doc.select("d", "_y", "words", F.explode("h").alias("w")).groupBy("d", "_y", "words", "w").agg(F.count(F.lit(1)).alias("c"))
     fires = [(F.col("c") >= least) & (F.col("c") >= rate * F.col("words")) for least, rate in LEVELS]
     sums = [x for k, f in enumerate(fires) for x in (F.count_if(f & (F.col("_y") == 1)).alias(f"t{k}"), F.count_if(f).alias(f"n{k}"))]
@@ -125,15 +131,20 @@ def mine(sample: DataFrame, room: int, lengths: tuple[int, ...] = (3, 4, 5, 6, 7
     many = 10 * max(flat.count(), 100)
     p = F.col("t") / F.col("n")
     gain = F.col("n") * (p * F.log(p / prior) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - prior))).otherwise(0.0))
-    found = flat.withColumn("gain", gain).where(F.col("gain") > math.log(many) + 3).orderBy(F.desc("gain"), "w", "k").limit(5000).collect()
+    # the vocabulary of the labelled rows, which are bounded, bounds this too
+    found = flat.withColumn("gain", gain).where(F.col("gain") > math.log(many) + 3).orderBy(F.desc("gain"), "w", "k").collect()
     kept: list[tuple[str, bool, int, float]] = []
+    stems, starts = set(), set()
     for r in found:
-        if len(kept) < room and not any(r["w"].startswith(v[0]) or v[0].startswith(r["w"]) for v in kept):
+        heads_ = {r["w"][:n] for n in range(1, len(r["w"]) + 1)}
+        if r["w"] not in starts and not heads_ & stems:
             kept.append((r["w"], False, *LEVELS[r["k"]]))
+            stems.add(r["w"])
+            starts |= heads_
     return kept, prior, n_all
 
 
-VOTES = "doc_id long, votes long, hits long, words long"
+VOTES = "doc_id long, votes array<int>, hits long, words long"
 
 
 def vote_table(docs: DataFrame, model: Model) -> DataFrame:
@@ -142,10 +153,10 @@ def vote_table(docs: DataFrame, model: Model) -> DataFrame:
 
     def rows(batches):
         find = finder(voters)
-        for b in batches:
+        for b in small(batches):
             got = [find(t) for t in b.column(1).to_pylist()]
             cols = list(zip(*got, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "votes", "hits", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.list_(pa.int32())), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "votes", "hits", "words"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, VOTES)
 
@@ -153,8 +164,7 @@ def vote_table(docs: DataFrame, model: Model) -> DataFrame:
 def moments(votes: DataFrame, m: int) -> tuple[int, np.ndarray]:
     """Documents, and how many each pair of voters fires on together; on the diagonal, each alone. m (m + 1) / 2 sums."""
     total = votes.count()
-    on = F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.getbit("votes", i) == 1)
-    fired = votes.where("votes <> 0").groupBy("votes").count().select("count", on.alias("on"))
+    fired = votes.where("size(votes) > 0").groupBy(F.col("votes").alias("on")).count()
     pairs = fired.select("count", "on", F.explode("on").alias("i")).select("count", "i", F.explode("on").alias("j")).where("i <= j").groupBy("i", "j").agg(F.sum("count").alias("n")).collect()
     out = np.zeros((m, m))
     for r in pairs:
@@ -233,15 +243,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled_rows: int = 20_000) -> tuple[Model, DataFrame]:
     """The model, and the staged votes of every row of docs. Without usable labels the lexicon alone votes."""
-    C.small_batches(spark)
     sample = C.stage(spark, labelled(docs, labels, labelled_rows), "labelled")
-    found, prior, n = mine(sample, VOTERS - len(LEXICON))
+    found, prior, n = mine(sample)
     model = Model([(w, True, 1, 0.0) for w in LEXICON if not any(w.startswith(v[0]) for v in found)] + found, prior=min(max(prior, 0.01), 0.5))
     m = model.m
     votes = C.stage(spark, vote_table(docs, model), "votes")
     total, joint = moments(votes, m)
-    known = vote_table(sample, model).join(sample.select(F.col("doc_id").alias("_d"), "_y").distinct(), F.col("doc_id") == F.col("_d")).select("votes", "hits", "words", "_y").toPandas()
-    x = vectors(m, known.votes.to_numpy(np.int64), known.hits.to_numpy(np.int64), known.words.to_numpy(np.int64))
+    known = vote_table(sample, model).join(sample.select(F.col("doc_id").alias("_d"), "_y").distinct(), F.col("doc_id") == F.col("_d")).select("votes", "hits", "words", "_y").toPandas()  # a row a labelled document
+    x = vectors(m, known.votes.tolist(), known.hits.to_numpy(np.int64), known.words.to_numpy(np.int64))
     y = known["_y"].to_numpy(np.int64) if n else np.zeros(0, np.int64)
     label_model(model, total, joint, x[:, :m], y)
     if n:
@@ -255,7 +264,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled_rows:
     return model, votes
 
 
-def score(model: Model, votes: np.ndarray, hits: np.ndarray, words: np.ndarray) -> np.ndarray:
+def score(model: Model, votes: list[list[int]], hits: np.ndarray, words: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(vectors(model.m, votes, hits, words) @ np.array(model.weights), -30, 30)))
 
 
@@ -268,9 +277,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, thresho
     model, votes = fit(spark, docs, labels, labelled_rows)
 
     def rows(batches):
-        for b in batches:
-            n = [b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(model, *n) if b.num_rows else [], pa.float64()), b.column(2)], names=["doc_id", "score", "hits"])
+        for b in small(batches):
+            got = score(model, b.column(1).to_pylist(), b.column(2).to_numpy(), b.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64()), b.column(2)], names=["doc_id", "score", "hits"])
 
     out = votes.mapInArrow(rows, "doc_id long, score double, hits long")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "hits")
@@ -286,8 +295,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, thres
     def scores(parts):
         find = finder(model.voters)
         for s in parts:
-            got = np.array([find(t) for t in s], np.int64).reshape(-1, 3)
-            yield pd.Series(score(model, got[:, 0], got[:, 1], got[:, 2]))
+            got = [find(t) for t in s]
+            yield pd.Series(score(model, [g[0] for g in got], np.array([g[1] for g in got]), np.array([g[2] for g in got])) if got else np.zeros(0))
 
     from collections.abc import Iterator
 
@@ -296,6 +305,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, thres
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, with its score.
+
+    Null and empty texts score as texts without votes; equal texts score alike, repeated rows repeat; a null doc_id has no
+    label and is not held out; further columns are not read. No documents give no rows; without labels the lexicon votes.
+    """
     return toxicity(spark, C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
 

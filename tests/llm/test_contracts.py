@@ -15,7 +15,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quadlake.llm import exact_dedup, matroska, mixing, packing, sharding, simhash, token_files, toxicity
+from quadlake.llm import entry, exact_dedup, matroska, mixing, packing, sharding, simhash, token_files, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -27,7 +27,7 @@ def sf(spark, tmp_path_factory):
     t = base["text"].tolist()
     words = t[3].split(" ")
     near = [" ".join(words[:k] + ["changed"] + words[k + 1 :]) for k in (5, 9)]
-    more = [None, "", " \n\t", "one", "one two", t[0], t[0], t[5], *near, t[1] * 12, "İstanbul ÇA Ünï  x \x1c y", "<|endoftext|> a  b\n\n c", "é" * 3000, "a 's 12 34, b", None]
+    more = [None, "", " \n\t", "one", "one two", t[0], t[0], t[5], *near, t[1] * 12, "İstanbul ÇA Ünï  x \x1c y", "<|endoftext|> a  b\n\n c", "a<|endoftext|>b", "x <|STARTOFTEXT|> y <|startoftext|>z", "é" * 3000, "a 's 12 34, b", None]
     extra = pd.DataFrame({"doc_id": range(100_000, 100_000 + len(more)), "text": more, "lang": ["en"] * len(more), "source": ["zz"] * (len(more) - 2) + [None, "a"], "n_chars": [len(x or "") for x in more]})
     docs = pd.concat([base, extra], ignore_index=True)
     labels = pd.read_parquet("/root/testdata/sf0.001/labels.parquet")
@@ -114,7 +114,6 @@ def test_lacing_and_unknown_sizes(spark):
 
 def ids_of(name, texts):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -160,44 +159,32 @@ def test_packing(spark, sf):
     assert len(bins) <= 1.02 * sum(map(len, ids.values())) / 2048 + 2
 
 
-def test_sums_of_squares():
-    def brute(sizes, cap):
-        open_, out = [], []
-        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-            best = None
-            for b in [*range(len(open_)), None]:
-                g = cap if b is None else open_[b]
-                if g < sizes[i]:
-                    continue
-                c = Counter(x for k, x in enumerate(open_) if k != b and x)
-                if g > sizes[i]:
-                    c[g - sizes[i]] += 1
-                cost = sum(v * v for v in c.values())
-                if best is None or cost < best[0]:
-                    best = (cost, b)
-            b = best[1]
-            if b is None:
-                open_.append(cap)
-                b = len(open_) - 1
-            open_[b] -= sizes[i]
-            out.append(best[0])
-        return out
+@pytest.mark.parametrize("cap", [12, 100])
+def test_sums_of_squares(cap):
+    """Every placement against all others that were open to it, the squares counted anew for each."""
 
-    def cost_of(sizes, cap):
-        bins, offsets = packing.pack(np.array(sizes), cap)
-        left, out = {}, []
-        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-            assert cap - left.get(bins[i], cap) == offsets[i]
-            left[bins[i]] = left.get(bins[i], cap) - sizes[i]
-            out.append(sum(v * v for v in Counter(x for x in left.values() if x).values()))
-        return out
+    def cost(left):
+        return sum(v * v for v in Counter(g for g in left if g).values())
 
     r = np.random.default_rng(3)
     for _ in range(20):
-        sizes = r.integers(1, 13, 40).tolist()
-        assert cost_of(sizes, 12)[:1] == brute(sizes, 12)[:1]
-        bins, _ = packing.pack(np.array(sizes), 12)
-        assert max(Counter(dict(zip(range(40), sizes))).values()) <= 12 and all(sum(s for s, b in zip(sizes, bins) if b == k) <= 12 for k in set(bins.tolist()))
+        sizes = r.integers(1, cap + 1, 60).tolist()
+        bins, offsets = packing.pack(np.array(sizes), cap)
+        left = []
+        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+            tried = {}
+            for b in [*range(len(left)), None]:
+                gap = cap if b is None else left[b]
+                if gap >= sizes[i]:
+                    after = [*left, cap] if b is None else list(left)
+                    after[len(left) if b is None else b] -= sizes[i]
+                    tried[b] = cost(after), b is None, gap
+            b = None if bins[i] == len(left) else int(bins[i])
+            assert tried[b] == min(tried.values())  # of equals the smallest gap, a new bin last
+            if b is None:
+                left.append(cap)
+            assert offsets[i] == cap - left[bins[i]]
+            left[bins[i]] -= sizes[i]
 
 
 def test_sharding(spark, sf):
@@ -315,7 +302,90 @@ def test_pipeline_stages(spark, sf):
     assert {r.doc_id for r in corpus_pipeline.packed(spark, left, sf[0]).collect()} == held3
 
 
-@pytest.mark.parametrize("op", [exact_dedup.exact_duplicates, mixing.mix, lambda s, d: simhash.near_duplicates(s, d), lambda s, d: sharding.shard_rows(s, d, [1.0, 1.0]), simhash.deduplicate, exact_dedup.deduplicate, packing.pack_public])
-def test_empty_tables(spark, op):
-    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
-    assert op(spark, docs).collect() == []
+NO_DOCS, NO_LABELS = "doc_id long, text string, lang string, source string, n_chars long", "doc_id long, quality int, toxic int"
+
+
+def written(spark, docs, labels, d):
+    docs.write.mode("overwrite").parquet(f"{d}/documents.parquet")
+    labels.write.mode("overwrite").parquet(f"{d}/labels.parquet")
+    return d
+
+
+def test_empty_tables(spark, tmp_path):
+    """No documents and no labels: every query and stage gives no rows."""
+    docs = spark.createDataFrame([], NO_DOCS)
+    d = written(spark, docs, spark.createDataFrame([], NO_LABELS), str(tmp_path))
+    for name, query in entry.queries().items():
+        assert query(spark, d).collect() == [], name
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, d).collect() == [], name
+
+
+CLASHES = ["_h", "_d", "_s", "_sha", "_th", "_i", "_copies", "_keep", "copies", "size", "rid", "keep", "sha", "d", "h", "s", "i", "th", "name", "level", "key", "n", "_text", "_y", "_id", "fp", "mask", "tid", "did", "body", "spans", "shard", "_bucket", "media", "term", "a.b"]
+
+
+def test_clashing_columns_and_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows and columns of our own names: the queries read past them, and stages keep them as
+    they were. No label at all: the lexicon votes."""
+    texts = [None, "", "a b c d e f", "a b c d e f", "a b c d e g", "you idiot moron trash scum", "x " * 700, "mail me@x.org now", None]
+    rows = [(None if i == 4 else i // 2, t, None, None if i % 3 else f"s{i % 2}", None, *(f"{c}{i}" if i % 2 else None for c in CLASHES)) for i, t in enumerate(texts)]
+    rows += [rows[2], rows[2]]
+    docs = spark.createDataFrame(rows, NO_DOCS + "".join(f", `{c}` string" for c in CLASHES))
+    plain = docs.select(*NO_DOCS.replace(" long", "").replace(" string", "").split(", "))
+    d, e = (written(spark, x, spark.createDataFrame([], NO_LABELS), str(tmp_path / k)) for k, x in (("clash", docs), ("plain", plain)))
+    for name, query in entry.queries().items():
+        if name == "op7_sum_of_squares_packing":
+            assert query(spark, d).count() == query(spark, e).count() == len(rows)
+            continue
+        got, want = (sorted(map(repr, query(spark, x).collect())) for x in (d, e))
+        assert got == want and len(got) == len(rows), name
+    whole = Counter(map(repr, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns, name
+        kept = Counter(map(repr, out.collect()))
+        assert set(kept) <= set(whole) and kept, name
+        if name == "toxicity":
+            assert not any("idiot" in x for x in kept) and sum(kept.values()) == len(rows) - 1
+        elif name != "mix_sources":
+            assert all(kept[x] <= 1 for x in kept), name
+
+
+def test_labelled_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(k % 5, f"text {k}") for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(5)] * 3, NO_LABELS)
+    got = toxicity.labelled(docs, labels, 3).collect()
+    assert 0 < len(got) <= 3 and all(r.text == min(f"text {k}" for k in range(r.doc_id, 50, 5)) for r in got)
+
+
+def test_many_voters(spark):
+    """More stems than a long has bits, each with a vote of its own."""
+    stems = [f"{a}{b}{c}x" for a in "bcdfgh" for b in "aeiou" for c in "klmn"][:100]
+    texts = [f"{w} fine {w}" for w in stems for _ in range(12)] + ["all is well here"] * 9000
+    model, votes = toxicity.fit(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(i, 0, int(i < 1200)) for i in range(len(texts))], NO_LABELS))
+    assert sum(v[0][:4] in stems for v in model.voters) > 64
+    assert max(max(r.votes, default=0) for r in votes.collect()) > 64
+
+
+def test_multipliers_solve_the_dual(spark):
+    """Each source's multiplier against bisection on its own sum."""
+    r = np.random.default_rng(8)
+    counts = [(s, int(n), int(r.integers(1, 30))) for s in "abcd" for n in set(r.integers(1, 400, 40).tolist())]
+    sizes = spark.createDataFrame(counts, "source string, size long, n long")
+    goal = mixing.targets(sizes, (5, 2, 1), 3.0)
+    want = {g.source: g for g in goal.collect()}
+    for g in mixing.multipliers(spark, sizes, goal, 3.0, 40, 1e-9).collect():
+        mine = np.array([(n, k) for s, n, k in counts if s == g.source], float)
+        words = lambda lam: (mine[:, 0] * mine[:, 1] * np.minimum(3.0, np.exp(lam * mine[:, 0] / g.x_unit))).sum()
+        if g.full:
+            assert want[g.source].target == want[g.source].cap
+            continue
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            lo, hi = ((lo + hi) / 2, hi) if words((lo + hi) / 2) < want[g.source].target else (lo, (lo + hi) / 2)
+        assert abs(g.lam - lo) < 1e-6 and abs(words(g.lam) - want[g.source].target) < 1e-6 * want[g.source].target
+
+
+def test_copies_never_exceed_the_most(spark):
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 7), "only" if k else "other") for k in range(300)], "doc_id long, text string, source string")
+    assert all(r.copies <= 2 for r in mixing.mix(spark, docs, most=2.0, weights=(1, 50)).collect())
