@@ -7,6 +7,7 @@ reliable checkpoint does, but are columnar, keep their row ids, and outlive any
 from __future__ import annotations
 
 import atexit
+import functools
 import sys
 import tempfile
 import uuid
@@ -118,4 +119,21 @@ def small(batches, rows: int = 512):
             yield b.slice(i, rows)
 
 
+def small_batches(f, rows: int = 512):
+    """f(spark, ...) with Arrow batches of few rows, which spares what executors hold beside their heap; the session's own
+    setting is put back. What f returns has to be staged, or free of Python: a plan runs by the setting of its time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    @functools.wraps(f)
+    def run(spark, *a, **k):
+        was = spark.conf.get(key)
+        spark.conf.set(key, rows if int(was) <= 0 else min(int(was), rows))
+        try:
+            return f(spark, *a, **k)
+        finally:
+            spark.conf.set(key, was)
+
+    return run
+
+
 travels(__name__)

@@ -370,6 +370,7 @@ def digest(stored: DataFrame) -> DataFrame:
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(rows, schema)
 
 
+@C.small_batches
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a document, with digests and features of its stored form, read back.
 
@@ -377,7 +378,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     null; further columns are not read; no documents give no rows.
     """
     stored = C.stage(spark, store(C.table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
-    return digest(stored)
+    return C.stage(spark, digest(stored), "digests")
 
 
 C.travels(__name__)

@@ -57,6 +57,7 @@ def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
+@C.small_batches
 def pieces(spark: SparkSession, docs: DataFrame, *, tokenizer: str, cut: str, end_id: int, capacity: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A staged row a piece (PIECES). Only documents longer than capacity are cut; their first piece may be shorter."""
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -245,6 +245,7 @@ def _search(shards: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(rows, "a long, b long")
 
 
+@C.small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, radius: int = 3, text: str = "text", doc_id: str = "doc_id", shard_rows: int = 20_000) -> DataFrame:
     """doc_id, fingerprint, component_id, text_sha256 for every row.
 
@@ -504,6 +505,7 @@ def _large_groups(spark: SparkSession, big: DataFrame, similarity: float, shard_
     return linked.unionByName(C.stage(spark, dealt.mapInArrow(answer, "a long, b long"), "answers"))
 
 
+@C.small_batches
 def similar(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id", shard_texts: int = 2000) -> DataFrame:
     """doc_id, text_sha256, rid, component for every row: texts whose sets of shingles have at least this similarity are linked.
 

@@ -294,6 +294,7 @@ def _merge(strings: DataFrame, length: int) -> DataFrame:
     return strings.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "strings").mapInArrow(rows, "did long, tid long, s int, e int")
 
 
+@C.small_batches
 def repeats(spark: SparkSession, docs: DataFrame, *, length: int = 400, text: str = "text", doc_id: str = "doc_id", shard_contexts: int = 2000, shard_bytes: int = 1 << 20) -> DataFrame:
     """did, tid, spans: for each row with repeated bytes, byte ranges (s, e) that strings of ``length`` bytes cover which start
     elsewhere too. A row is known by did (its doc_id, null: 0) and tid (a hash of its text)."""
@@ -314,7 +315,7 @@ def repeats(spark: SparkSession, docs: DataFrame, *, length: int = 400, text: st
     found = C.stage(spark, _shards(dealt, length, shard_bytes, buckets), "found")
     whole = runs.join(kinds.where("cnt > 1").select("key", "c1", "c2"), ["key", "c1", "c2"]).select("did", "tid", F.col("l").alias("s"), (F.col("l") + F.col("n") + F.lit(length - 1)).alias("e"))
     spans = whole.unionByName(found.where("bucket IS NULL").select("did", "tid", "s", "e")).unionByName(_merge(found.where("bucket IS NOT NULL"), length))
-    return spans.groupBy("did", "tid").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return C.stage(spark, spans.groupBy("did", "tid").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
 
 
 def identified(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -335,6 +336,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<s:int,e:int>>, kept binary"
 
 
+@C.small_batches
 def remove_repeats(spark: SparkSession, docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", digest: bool = False, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans and kept (the bytes that stay) for every row; with digest kept_sha256 in place of the last two.
 
@@ -367,7 +369,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, text: str = "text",
                 names = ["spans", "kept"]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", *names])
 
-    return both.mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, " + tail)
+    out = both.mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, " + tail)
+    return C.stage(spark, out, "digests") if digest else out
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,7 @@ POP = np.array([bin(i).count("1") for i in range(256)], np.int64)
 MANIFEST = "part int, seq int, file string, n_docs long, n_ids long, n_bytes long"
 
 
+@C.small_batches
 def write(spark: SparkSession, docs: DataFrame, path: str, *, tokenizer: str, cut: str, end_id: int, text: str = "text", doc_id: str = "doc_id", file_ids: int = 4_000_000, part_bytes: int = 12 << 20) -> DataFrame:
     """Encodes every text (null: empty), appends end_id, and writes files in ascending doc_id order under path.
 

@@ -241,6 +241,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
+@C.small_batches
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled_rows: int = 20_000) -> tuple[Model, DataFrame]:
     """The model, and the staged votes of every row of docs. Without usable labels the lexicon alone votes."""
     sample = C.stage(spark, labelled(docs, labels, labelled_rows), "labelled")
@@ -285,23 +286,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, thresho
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "hits")
 
 
+@C.small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score under the threshold, all columns as they were."""
-    import pandas as pd
-
+    """The rows of docs that score under the threshold, all columns as they were, whatever their names."""
     model, votes = fit(spark, docs, labels)
     C.unstage(spark, votes)
+    at = docs.columns.index("text")
 
-    def scores(parts):
+    def clean(batches):
         find = finder(model.voters)
-        for s in parts:
-            got = [find(t) for t in s]
-            yield pd.Series(score(model, [g[0] for g in got], np.array([g[1] for g in got]), np.array([g[2] for g in got])) if got else np.zeros(0))
-
-    from collections.abc import Iterator
+        for b in small(batches):
+            got = [find(t) for t in b.column(at).to_pylist()]
+            scores = score(model, [g[0] for g in got], np.array([g[1] for g in got]), np.array([g[2] for g in got]))
+            yield b.filter(pa.array(scores < threshold))
 
-    scores.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.where(F.pandas_udf(scores, "double")(F.coalesce("text", F.lit(""))) < threshold)
+    return C.stage(spark, docs.mapInArrow(clean, docs.schema), "clean")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
