@@ -5,9 +5,11 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .functions.scalars import TYPES
-from .plans import quadtree
+from .matrix import morton
+from .plans.quadtree import canonical
 from .sources import build, files
 
 
@@ -40,17 +42,22 @@ def main(argv: list[str] | None = None) -> int:
         nt, _ = files.read_nodes(spark, a.file)
         print(nt.count(a.scalar).first()[0])  # from counts of blocks, however large the matrix is
     elif a.command == "locate":
-        for r in files.read_json(spark, a.file).locate(a.scalar, a.most).toLocalIterator():
+        nt, _ = files.read_nodes(spark, a.file)
+        order = morton(F.col("row"), F.col("col"), nt.row_level, nt.col_level)
+        for r in nt.locate(a.scalar, a.most).orderBy(order).toLocalIterator():
             print(r["row"], r["col"])
     elif a.command == "equal":
-        same = quadtree.compress(files.read_json(spark, a.file)).same(quadtree.compress(files.read_json(spark, a.other)))
+        same = files.equal_files(spark, a.file, a.other)
         print("equal" if same else "different")
         return int(not same)
     elif a.command == "print":
         for r in files.dense_text(files.read_json(spark, a.file)).toLocalIterator():
             print(r["line"])
-    elif a.command in ("canonical", "from-coordinates", "from-rows"):
-        read = {"canonical": files.read_json, "from-coordinates": files.read_coordinates, "from-rows": files.read_row_major}[a.command]
+    elif a.command == "canonical":
+        nt, info = files.read_nodes(spark, a.file)
+        print(files.write_nodes(canonical(nt), a.out, info))
+    elif a.command in ("from-coordinates", "from-rows"):
+        read = {"from-coordinates": files.read_coordinates, "from-rows": files.read_row_major}[a.command]
         print(files.write_json(read(spark, a.file), a.out))
     else:
         t = TYPES[a.type]

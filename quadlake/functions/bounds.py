@@ -91,6 +91,10 @@ class Bounds(Field):
             return Bound(x.value * y.value, x.exact and y.exact)
         return self.fit(x.value * y.value, x.exact and y.exact)
 
+    def parts(self, x: Bound) -> tuple:
+        """Exact and inexact bounds compare alike; no number is less than all."""
+        return Fraction(-1) if x.value is None else x.value, 0
+
     def size(self, x: Bound) -> float:
         return float("nan") if x.value is None else float(x.value)
 

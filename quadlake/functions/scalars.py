@@ -74,6 +74,44 @@ class ScalarType:
     def total(self, v: Column) -> Column:
         return F.sum(v).cast(self.dtype)
 
+    def compare(self, a: Column, b: Column) -> Column:
+        """-1, 0 or 1."""
+        return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+    def compare_parts(self, a: Column, b: Column) -> Column:
+        """One number for how real and imaginary parts compare: that of the real parts and four times that of the imaginary
+        ones, where 0 is equal, 1 greater and 2 less."""
+        c = self.compare(a, b)
+        return F.when(c < 0, 2).otherwise(c)
+
+    def is_real(self, a: Column) -> Column:
+        return F.lit(True)
+
+    def is_imaginary(self, a: Column) -> Column:
+        return F.lit(False)
+
+    def is_nan(self, a: Column) -> Column:
+        return F.lit(False)
+
+    def is_infinite(self, a: Column) -> Column:
+        return F.lit(False)
+
+    def is_regular(self, a: Column) -> Column:
+        """Neither zero, infinite nor no number."""
+        return self.nonzero(a) & ~self.is_nan(a) & ~self.is_infinite(a)
+
+    def of_doubles(self, re_: Column, im: Column) -> Column:
+        """The scalar of a real and an imaginary part; what the type cannot hold is an error."""
+        ok = (im == 0) & (re_ == F.floor(re_).cast("double"))
+        return F.when(ok, re_.cast(self.dtype)).otherwise(F.raise_error(F.lit(f"no {self.name}")))
+
+    def exact_text(self, v: Column) -> Column:
+        """Text that loses nothing."""
+        return self.text(v)
+
+    def hash(self, v: Column) -> Column:
+        return F.xxhash64(v)
+
     def sum_by(self, df: DataFrame, keys: list[str]) -> DataFrame:
         """keys and val: the sum of val by keys, without zeros."""
         return df.groupBy(*keys).agg(self.total(F.col("val")).alias("val")).where(self.nonzero(F.col("val")))
@@ -90,6 +128,23 @@ class Real(ScalarType):
     def root(self, a):
         return F.sqrt(a)
 
+    def is_nan(self, a):
+        return F.isnan(a)
+
+    def is_infinite(self, a):
+        return F.abs(a) == float("inf")
+
+    def of_doubles(self, re_, im):
+        return F.when(im == 0, re_).otherwise(F.raise_error(F.lit("no REAL")))
+
+    def exact_text(self, v):
+        """Hexadecimal, as every bit counts."""
+        return _hex(v)
+
+
+def _hex(v: Column) -> Column:
+    return F.call_function("java_method", F.lit("java.lang.Double"), F.lit("toHexString"), v)
+
 
 class BigInteger(ScalarType):
     """MPINTEGER: integers of up to 38 digits; beyond them Spark reports an overflow."""
@@ -156,6 +211,9 @@ class Boolean(ScalarType):
     def total(self, v):
         return F.bool_or(v)
 
+    def of_doubles(self, re_, im):
+        return F.when(im == 0, re_ != 0).otherwise(F.raise_error(F.lit("no BOOLEAN")))
+
 
 class Complex(ScalarType):
     """COMPLEX: a struct of two doubles, written a+I*b."""
@@ -225,6 +283,38 @@ class Complex(ScalarType):
     def total(self, v):
         return self.pair(F.sum(v["re"]), F.sum(v["im"]))
 
+    def compare(self, a, b):
+        """Complex numbers have no order: real parts decide, and imaginary ones between equals."""
+        re_, im = (F.when(a[p] < b[p], -1).when(a[p] > b[p], 1).otherwise(0) for p in ("re", "im"))
+        return F.when(re_ != 0, re_).otherwise(im)
+
+    def compare_parts(self, a, b):
+        re_, im = (F.when(a[p] < b[p], 2).when(a[p] > b[p], 1).otherwise(0) for p in ("re", "im"))
+        return re_ + 4 * im
+
+    def is_real(self, a):
+        return a["im"] == 0
+
+    def is_imaginary(self, a):
+        return a["re"] == 0
+
+    def is_nan(self, a):
+        return F.isnan(a["re"]) | F.isnan(a["im"])
+
+    def is_infinite(self, a):
+        return (F.abs(a["re"]) == float("inf")) | (F.abs(a["im"]) == float("inf"))
+
+    def is_regular(self, a):
+        """Both parts are neither zero, infinite nor no number."""
+        part = lambda x: (x != 0) & ~F.isnan(x) & (F.abs(x) < float("inf"))
+        return part(a["re"]) & part(a["im"])
+
+    def of_doubles(self, re_, im):
+        return self.pair(re_, im)
+
+    def exact_text(self, v):
+        return F.concat(_hex(v["re"]), F.when(v["im"] < 0, F.lit("-I*")).otherwise(F.lit("+I*")), _hex(F.abs(v["im"])))
+
 
 BITS = Context(prec=78)  # 256 bits
 
@@ -266,6 +356,15 @@ class Field:
     def size(self, x) -> float:
         return float(abs(x))
 
+    def parts(self, x) -> tuple:
+        """Real and imaginary part, as numbers that compare."""
+        return x, 0
+
+    def of(self, re_: float, im: float):
+        if im:
+            raise ValueError("no imaginary part can be held")
+        return self.parse(str(Fraction(re_)))
+
 
 class Float256(Field):
     def parse(self, s):
@@ -293,6 +392,11 @@ class Float256(Field):
     def norm(self, x):
         return BITS.abs(x)
 
+    def of(self, re_, im):
+        if im:
+            raise ValueError("no imaginary part can be held")
+        return BITS.create_decimal(Decimal(re_))
+
 
 IMAGINARY = re.compile(r"^(?P<re>[^I]*?)?(?:(?P<sign>[+-]?)I(?:\*(?P<im>.+))?)?$")
 
@@ -350,6 +454,12 @@ class Pair(Field):
     def size(self, x):
         return (float(x[0]) ** 2 + float(x[1]) ** 2) ** 0.5
 
+    def parts(self, x):
+        return x
+
+    def of(self, re_, im):
+        return self.part.of(re_, 0.0), self.part.of(im, 0.0)
+
 
 # Names of the square roots in algebraic numbers, by the primes under the root.
 NAMES = {(0, 0): "1", (1, 0): "S2", (0, 1): "S3", (1, 1): "S6"}
@@ -431,6 +541,17 @@ class Algebraic(Field):
             total = BITS.add(total, BITS.multiply(roots[k[:2]], BITS.divide(Decimal(v.numerator), Decimal(v.denominator))))
         return {(0, 0, 0): Fraction(BITS.sqrt(total))}
 
+    def parts(self, x):
+        """To 78 digits."""
+        roots = {(0, 0): Decimal(1), (1, 0): BITS.sqrt(Decimal(2)), (0, 1): BITS.sqrt(Decimal(3)), (1, 1): BITS.sqrt(Decimal(6))}
+        out = [Decimal(0), Decimal(0)]
+        for k, v in x.items():
+            out[k[2]] = BITS.add(out[k[2]], BITS.multiply(roots[k[:2]], BITS.divide(Decimal(v.numerator), Decimal(v.denominator))))
+        return tuple(out)
+
+    def of(self, re_, im):
+        return {k: v for k, v in (((0, 0, 0), Fraction(re_)), ((0, 0, 1), Fraction(im))) if v}
+
     def size(self, x):
         at = {(0, 0): 1.0, (1, 0): 2**0.5, (0, 1): 3**0.5, (1, 1): 6**0.5}
         part = lambda i: sum(float(v) * at[k[:2]] for k, v in x.items() if k[2] == i)
@@ -507,6 +628,42 @@ class Exact(ScalarType):
     def nonzero(self, a):
         return a != self._zero
 
+    def _ask(self, f, kind: str, *cols: Column) -> Column:
+        """f of parsed values, as a number or a truth value."""
+        field = self.field
+
+        def one(a: pd.Series) -> pd.Series:
+            return a.map(lambda x: f(field.parse(x)))
+
+        def two(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([f(field.parse(x), field.parse(y)) for x, y in zip(a, b)])
+
+        return F.pandas_udf(one if len(cols) == 1 else two, kind)(*cols)
+
+    def compare(self, a, b):
+        parts = self.field.parts
+        return self._ask(lambda x, y: (parts(x) > parts(y)) - (parts(x) < parts(y)), "int", a, b)
+
+    def compare_parts(self, a, b):
+        parts = self.field.parts
+        return self._ask(lambda x, y: sum((1 if u > v else 2 if u < v else 0) * f for u, v, f in zip(parts(x), parts(y), (1, 4))), "int", a, b)
+
+    def is_real(self, a):
+        parts = self.field.parts
+        return self._ask(lambda x: not parts(x)[1], "boolean", a) if self.complex else F.lit(True)
+
+    def is_imaginary(self, a):
+        parts = self.field.parts
+        return self._ask(lambda x: not parts(x)[0], "boolean", a) if self.complex else F.lit(False)
+
+    def of_doubles(self, re_, im):
+        field = self.field
+
+        def one(x: pd.Series, y: pd.Series) -> pd.Series:
+            return pd.Series([None if pd.isna(u) or pd.isna(v) else field.text(field.of(float(u), float(v))) for u, v in zip(x, y)], dtype=object)
+
+        return F.pandas_udf(one, "string")(re_, im)
+
     def sum_by(self, df, keys):
         """Sums within each partition first, then of what partitions found; only partial sums of a key ever meet."""
         field, zero = self.field, self._zero
@@ -530,7 +687,7 @@ class Exact(ScalarType):
             return out
 
         some = df.select(*keys, "val").mapInPandas(partial, schema)
-        dealt = some.repartition(*keys) if keys else some.coalesce(1)
+        dealt = some.repartition(*keys) if keys else some.repartition(1)  # a row a task at most, without keys
         return dealt.mapInPandas(partial, schema).groupBy(*keys).agg(F.first("val").alias("val")).where(F.col("val") != zero) if keys else dealt.mapInPandas(partial, schema).where(F.col("val") != zero)
 
 
@@ -552,12 +709,24 @@ def constants(stype: ScalarType) -> dict[str, Column]:
 def guess_type(tokens: list[str]) -> ScalarType:
     """The narrowest type that reads all of these scalars."""
     s = [t.strip() for t in tokens]
-    if any("{" in t for t in s):
+    whole = all(re.fullmatch(r"[+-]?[0-9]+", t) for t in s)
+    return _narrowest(any("{" in t for t in s), any(re.search(r"[Ii]", t) for t in s), any("/" in t for t in s), whole, whole and all(abs(int(t)) < 1 << 63 for t in s))
+
+
+def guess_column(df: DataFrame, token: Column) -> ScalarType:
+    """The narrowest type that reads all scalars of a column: a few truths over every row, and nothing collected."""
+    t = F.trim(token)
+    whole = F.coalesce(F.bool_and(t.rlike(r"^[+-]?[0-9]+$")), F.lit(True))
+    small = F.coalesce(F.bool_and(t.try_cast("bigint").isNotNull() & (t.try_cast("bigint") != -(1 << 63))), F.lit(True))
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return _narrowest(*df.agg(some(F.contains(t, F.lit("{"))), some(t.rlike("[Ii]")), some(F.contains(t, F.lit("/"))), whole, small).first())
+
+
+def _narrowest(roots: bool, imaginary: bool, quotients: bool, whole: bool, small: bool) -> ScalarType:
+    if roots:
         return CLIFFORD
-    if any(re.search(r"[Ii]", t) for t in s):
-        return MPRATCOMPLEX if any("/" in t for t in s) else COMPLEX
-    if any("/" in t for t in s):
+    if imaginary:
+        return MPRATCOMPLEX if quotients else COMPLEX
+    if quotients:
         return MPRATIONAL
-    if all(re.fullmatch(r"[+-]?[0-9]+", t) for t in s):
-        return INTEGER if all(abs(int(t)) < 1 << 63 for t in s) else MPINTEGER
-    return REAL
+    return (INTEGER if small else MPINTEGER) if whole else REAL

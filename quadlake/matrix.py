@@ -18,14 +18,25 @@ MAX_LEVEL = 32
 
 
 def morton(row: Column, col: Column, row_level: int, col_level: int) -> Column:
-    """The place of an entry in the order of quadrants: bits of row and column in turn, both aligned at the top."""
+    """The place of an entry in the order of quadrants: bits of row and column in turn, both aligned at the top. At level 32
+    all 64 bits are used, and the highest is turned over, so that the order of signed integers is that of places."""
     top = max(row_level, col_level)
     row, col = F.shiftleft(row, top - row_level), F.shiftleft(col, top - col_level)
-    bit = lambda x, k, to: F.shiftleft(F.shiftright(x, k).bitwiseAND(F.lit(1)), to)
+    bit = lambda x, k, to: F.shiftleft(F.shiftright(x, k).bitwiseAND(F.lit(1)).cast("long"), to)
     out = F.lit(0).cast("long")
     for k in range(top):
         out = out.bitwiseOR(bit(row, k, 2 * k + 1)).bitwiseOR(bit(col, k, 2 * k))
-    return out
+    return out.bitwiseXOR(F.lit(-(1 << 63))) if top == MAX_LEVEL else out
+
+
+def reduced(t: ScalarType, terms: DataFrame) -> DataFrame:
+    """One row with the sum of val; zero for no terms."""
+    if type(t).__name__ == "Exact":
+        return t.sum_by(terms, []).agg(F.first("val").alias("val")).select(F.coalesce("val", t.zero()).alias("val"))
+    total = terms.agg(t.total(F.col("val")).alias("val"))
+    if t.name == "COMPLEX":
+        return total.select(t.pair(F.coalesce("val.re", F.lit(0.0)), F.coalesce("val.im", F.lit(0.0))).alias("val"))
+    return total.select(F.coalesce("val", t.zero()).alias("val"))
 
 
 @dataclass(frozen=True)
@@ -161,6 +172,16 @@ class Matrix:
         terms = a.join(b, "k").select(F.col("i").alias("row"), F.col("j").alias("col"), self.stype.times(F.col("x"), F.col("y")).alias("val"))
         return Matrix(self.stype.sum_by(terms, ["row", "col"]), self.row_level, other.col_level, self.stype)
 
+    def product(self, other: Matrix, keep_rows: int | None = None) -> Matrix:
+        """self @ other. Where the product has more than keep_rows entries it is written out once and read back, so that
+        what it was made of need not be kept; the result does not depend on that."""
+        out = self @ other
+        if keep_rows is None or out.df.limit(keep_rows + 1).count() <= keep_rows:
+            return out
+        from .plans.staging import cut
+
+        return Matrix(cut(out.df), out.row_level, out.col_level, out.stype)
+
     def dot(self, other: Matrix) -> DataFrame:
         """val: the product of two vectors. A row by a column conjugates nothing, two rows conjugate the second, two columns the first."""
         self._same_type(other)
@@ -171,10 +192,11 @@ class Matrix:
         index = lambda m: (F.col("col") if m.kind == "ROW_VECTOR" else F.col("row")).alias("k")
         x = self.df.select(index(self), (t.conj(F.col("val")) if kinds[0] == "COL_VECTOR" else F.col("val")).alias("x"))
         y = other.df.select(index(other), (t.conj(F.col("val")) if kinds[1] == "ROW_VECTOR" and kinds[0] == "ROW_VECTOR" else F.col("val")).alias("y"))
-        return self._reduced(x.join(y, "k").select(t.times(F.col("x"), F.col("y")).alias("val")))
+        return reduced(self.stype, x.join(y, "k").select(t.times(F.col("x"), F.col("y")).alias("val")))
 
     def kron(self, other: Matrix) -> Matrix:
-        """The Kronecker product; it has an entry for every pair of entries, so a cross join is what it is."""
+        """The Kronecker product; it has an entry for every pair of entries, so a cross join is what it is. Spark broadcasts a
+        side that is known to be small, and else pairs the partitions of both. ``quadtree.kron`` works on distinct blocks."""
         self._same_type(other)
         r, c = self.row_level + other.row_level, self.col_level + other.col_level
         b = other.df.select(F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("val").alias("v2"))
@@ -234,6 +256,16 @@ class Matrix:
         one = self.spark.range(1).select(F.lit(i).cast("long").alias("row"), F.lit(j).cast("long").alias("col"), self.stype.lit(value).alias("val"))
         return self._with(self.df.where(~((F.col("row") == i) & (F.col("col") == j))).unionByName(self._nz(one)))
 
+    def value_text(self) -> str:
+        """The value of a scalar; empty for all other shapes."""
+        return self.at_text(0, 0) if self.kind == "SCALAR" else ""
+
+    def is_invalid(self) -> bool:
+        """Whether any entry lies outside, occurs twice, is null or is a zero that should not be stored."""
+        inside = F.col("row").between(0, (1 << self.row_level) - 1) & F.col("col").between(0, (1 << self.col_level) - 1)
+        odd = self.df.where(~F.coalesce(inside & F.col("val").isNotNull() & self.stype.nonzero(F.col("val")), F.lit(False)))
+        return not odd.isEmpty() or not self.df.groupBy("row", "col").count().where("count > 1").isEmpty()
+
     def is_zero(self) -> bool:
         return self.df.isEmpty()
 
@@ -251,11 +283,12 @@ class Matrix:
 
     def locate(self, value, most: int | None = None) -> DataFrame:
         """row, col of the entries that equal value, in the order of quadrants. More than ``most`` are an error."""
-        v = self.stype.lit(value)
-        src = self.df if self._is_nonzero(value) else self.dense()
-        hit = src.where(self.stype.same(F.col("val"), v))
-        if most is not None and len(hit.limit(most + 1).take(most + 1)) > most:
+        t = self.stype
+        nonzero = self._is_nonzero(value)
+        if most is not None and self.count(value).first()[0] > most:
             raise ValueError(f"more than {most} entries")
+        # zeros that are not too many leave a grid that is no larger than they and the entries together
+        hit = (self.df if nonzero else self.dense()).where(t.same(F.col("val"), t.lit(value)))
         return hit.orderBy(morton(F.col("row"), F.col("col"), self.row_level, self.col_level)).select("row", "col")
 
     def _is_nonzero(self, value) -> bool:
@@ -270,22 +303,14 @@ class Matrix:
 
     # -- reductions --------------------------------------------------------------------------------------------------
 
-    def _reduced(self, terms: DataFrame) -> DataFrame:
-        """One row with the sum of val; zero for no terms."""
-        t = self.stype
-        if type(t).__name__ == "Exact":
-            got = t.sum_by(terms, [])
-            return got.agg(F.first("val").alias("val")).select(F.coalesce("val", t.zero()).alias("val"))
-        return terms.agg(t.total(F.col("val")).alias("val")).select((t.pair(F.coalesce("val.re", F.lit(0.0)), F.coalesce("val.im", F.lit(0.0))) if t.name == "COMPLEX" else F.coalesce("val", t.zero())).alias("val"))
-
     def trace(self) -> DataFrame:
         self._square()
-        return self._reduced(self.df.where("row = col").select("val"))
+        return reduced(self.stype, self.df.where("row = col").select("val"))
 
     def trace_norm(self, scale=1) -> DataFrame:
         """scale tr(A^H A), which is the sum of |a|^2: no product is formed."""
         t = self.stype
-        return self._reduced(self.df.select(t.times(t.lit(scale), t.squared(F.col("val"))).alias("val")))
+        return reduced(self.stype, self.df.select(t.times(t.lit(scale), t.squared(F.col("val"))).alias("val")))
 
     def norm(self, which: int = 0) -> DataFrame:
         """Entry by entry: 0 the largest |a|, 1 the sum of |a|, 2 the root of the sum of |a|^2; val is the type's norm."""
@@ -299,7 +324,7 @@ class Matrix:
 
     def max_element(self) -> DataFrame:
         """row, col, val of the largest |a|, the first of equals in the order of quadrants."""
-        place = F.struct(self.stype.size(F.col("val")).alias("n"), (-morton(F.col("row"), F.col("col"), self.row_level, self.col_level)).alias("m"))
+        place = F.struct(self.stype.size(F.col("val")).alias("n"), F.bitwise_not(morton(F.col("row"), F.col("col"), self.row_level, self.col_level)).alias("m"))
         return self.df.agg(F.max_by(F.struct("row", "col", "val"), place).alias("x")).select("x.*")
 
     def count(self, value) -> DataFrame:
@@ -319,6 +344,8 @@ class Matrix:
 
 def cells(spark: SparkSession, row_level: int, col_level: int) -> DataFrame:
     """row and col of every cell, from one range: no join."""
+    if row_level + col_level > 62:
+        raise ValueError("too many cells to be made one by one; matrices of that size stay in compressed form (plans/quadtree.py)")
     ids = spark.range(1 << (row_level + col_level))
     return ids.select(F.shiftright("id", col_level).alias("row"), F.col("id").bitwiseAND(F.lit((1 << col_level) - 1).cast("long")).alias("col"))
 

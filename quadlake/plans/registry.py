@@ -5,6 +5,7 @@ Spark recognises equal plans by a canonical hash, so a result is found again how
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from ..matrix import Matrix
@@ -61,10 +62,32 @@ class Registry:
     def forget_operations(self) -> None:
         self._memo.clear()
 
+    def remove(self, m: Matrix) -> bool:
+        """Drops one matrix; False, and no change, if it is held, locked or unknown."""
+        k = self.key(m)
+        if k not in self._kept or self._holds.get(k) or k in self._locked:
+            return False
+        self._kept.pop(k).df.unpersist()
+        self._info.pop(k, None)
+        self._memo = {at: x for at, x in self._memo.items() if self.key(x) != k}
+        return True
+
+    def listing(self) -> list[dict]:
+        """What is kept: shape, type, how often held, whether locked, and its information texts."""
+        return [{"key": k, "row_level": m.row_level, "col_level": m.col_level, "type": m.stype.name, "held": self._holds.get(k, 0), "locked": k in self._locked, "info": dict(self._info.get(k, {}))} for k, m in self._kept.items()]
+
     def set_info(self, m: Matrix, name: str, text: str) -> None:
+        """Sets a text; one that takes another's place is warned of."""
         if len(text) > 256:
             raise ValueError("at most 256 characters")
-        self._info.setdefault(self.key(m), {})[name] = text
+        held = self._info.setdefault(self.key(m), {})
+        if held.get(name, text) != text:
+            warnings.warn(f"{name} was {held[name]!r}", stacklevel=2)
+        held[name] = text
+
+    def info_names(self) -> list[str]:
+        """All names in use, in order."""
+        return sorted({n for texts in self._info.values() for n in texts})
 
     def get_info(self, m: Matrix, name: str) -> str:
         return self._info.get(self.key(m), {}).get(name, "")

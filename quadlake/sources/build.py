@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +43,23 @@ def not_gate(spark: SparkSession, stype: ScalarType = INTEGER) -> Matrix:
     return inverse_shuffle(spark, 1, stype).replaced(0, 0, 0).replaced(1, 1, 0).replaced(0, 1, 1).replaced(1, 0, 1)
 
 
+def globals_of(spark: SparkSession, stype: ScalarType = INTEGER) -> dict[str, Matrix]:
+    """Constants by name: 0, 1 and -1; halves where the type is no integer; i and its halves where it is complex; and the
+    2 by 2 identity, negation and Hadamard matrices."""
+    out = {"0": scalar(spark, 0, stype), "1": scalar(spark, 1, stype)}
+    signed = stype.name not in ("BOOLEAN", "UPPER", "LOWER")
+    if signed:
+        out["-1"] = scalar(spark, -1, stype)
+    if signed and stype.name not in ("INTEGER", "MPINTEGER"):
+        out |= {k: scalar(spark, v, stype) for k, v in (("1/2", "0.5"), ("-1/2", "-0.5"))}  # exact in every type
+    if stype.complex and stype.name != "CLIFFORD":
+        out |= {k: scalar(spark, v, stype) for k, v in (("i", "0+I*1"), ("-i", "0-I*1"), ("i/2", "0+I*0.5"), ("-i/2", "0-I*0.5"))}
+    if stype.name == "CLIFFORD":
+        out |= {k: scalar(spark, v, stype) for k, v in (("1/2", "(1/2)*{1}"), ("-1/2", "-(1/2)*{1}"), ("i", "{1}*I"), ("-i", "-{1}*I"), ("i/2", "(1/2)*{1}*I"), ("-i/2", "-(1/2)*{1}*I"))}
+    out |= {"I1": identity(spark, 1, stype), "NOT": not_gate(spark, stype)}
+    return out | ({"HH1": hadamard(spark, 1, stype)} if signed else {})
+
+
 def from_quadrants(a: Matrix, b: Matrix, c: Matrix, d: Matrix) -> Matrix:
     """[a b; c d]."""
     return a.join(b).stack(c.join(d))
@@ -87,44 +103,85 @@ def fft_matrix(spark: SparkSession, m: int) -> Matrix:
     return Matrix(df, m, m, COMPLEX)
 
 
+def _least(df: DataFrame, h: str, k: int, ties: list[str], enough: int = 1 << 16) -> DataFrame:
+    """The k rows of df whose (h, ties) are least; h is a hash of 60 bits and not negative. Twelve bits a pass are counted,
+    until few rows share what has been seen of the k-th; nothing is sorted but those."""
+    if k <= 0:
+        return df.limit(0)
+    done, prefix, taken = 0, 0, 0
+    while True:
+        here = df.where(F.shiftright(h, 60 - done) == prefix) if done else df
+        counts = sorted(here.groupBy(F.shiftright(h, 48 - done).alias("p")).count().collect())  # at most 4096
+        for p, n in counts:
+            if taken + n >= k:
+                break
+            taken += n
+        done, prefix = done + 12, p
+        if n <= enough or done == 60:
+            break
+    at = F.shiftright(h, 60 - done)
+    last = df.where(at == prefix).select(h, *ties).orderBy(h, *ties).limit(k - taken).collect()[-1]
+    key = lambda x: F.struct(*x)
+    return df.where((at < prefix) | ((at == prefix) & (key([F.col(c) for c in (h, *ties)]) <= key([F.lit(v).cast("long") for v in last]))))
+
+
 def random_ones(spark: SparkSession, r: int, c: int, ones: int, seed: int = 0, stype: ScalarType = INTEGER) -> Matrix:
-    """Exactly ``ones`` entries of 1, any set of cells alike. The cells are drawn on the driver, one number an entry."""
-    if not 0 <= ones <= 1 << (r + c):
+    """Exactly ``ones`` entries of 1, any set of cells alike. Numbers are hashed to cells until enough different ones have
+    been met, and those met first are taken; where most cells are ones it is the others that are drawn. Up to level sums of 62."""
+    cells_ = 1 << (r + c)
+    if not 0 <= ones <= cells_:
         raise ValueError("more ones than cells")
-    at = random.Random(seed).sample(range(1 << (r + c)), ones)
-    df = spark.createDataFrame([(p >> c, p & ((1 << c) - 1)) for p in at], "row bigint, col bigint").withColumn("val", stype.one())
+    if r + c > 62:
+        raise ValueError("at most 2^62 cells")
+    few = min(ones, cells_ - ones)
+    draws = few + few // 2 + 64
+    while True:
+        met = spark.range(draws).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(cells_)).alias("cell"), "id")
+        met = met.groupBy("cell").agg(F.min("id").alias("h"))
+        if not few or met.count() >= few:
+            break
+        draws *= 2
+    drawn = _least(met, "h", few, [])
+    if few < ones:
+        drawn = spark.range(cells_).withColumnRenamed("id", "cell").join(drawn, "cell", "left_anti")
+    df = drawn.select(F.shiftright("cell", c).alias("row"), F.col("cell").bitwiseAND(F.lit((1 << c) - 1).cast("long")).alias("col"), stype.one().alias("val"))
     return Matrix(df, r, c, stype)
 
 
 def random_entries(spark: SparkSession, r: int, c: int, low: int, high: int, sparsity: float = 0.0, seed: int = 0, stype: ScalarType = INTEGER) -> Matrix:
     """Nonzero whole numbers in [low, high) but for exactly round(sparsity * cells) zeros. Where zeros fall and what the
     others are follows from hashes of the cell, so partitioning doesn't matter."""
-    n = 1 << (r + c)
-    zeros = round(sparsity * n)
-    cell = cells(spark, r, c).withColumn("_h", F.xxhash64(F.lit(seed), "row", "col"))
+    zeros = round(sparsity * (1 << (r + c)))
+    cell = cells(spark, r, c).withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "row", "col"), 4))
     if zeros:
-        cut = cell.select(F.percentile_approx("_h", F.lit(zeros / n), F.lit(1_000_000)).alias("_q"))
-        below = cell.crossJoin(F.broadcast(cut))  # one row
-        ranked = below.where("_h <= _q").count()
-        gone = cell.orderBy("_h").limit(zeros) if ranked != zeros else below.where("_h <= _q").drop("_q")
-        cell = cell.join(gone.select("row", "col"), ["row", "col"], "left_anti")
+        cell = cell.join(_least(cell, "h", zeros, ["row", "col"]).select("row", "col"), ["row", "col"], "left_anti")
     value = F.pmod(F.xxhash64(F.lit(seed + 1), "row", "col"), F.lit(high - low)) + F.lit(low)
     value = F.when(value == 0, F.lit(high - 1 if high != 1 else low)).otherwise(value)
     return Matrix(cell.select("row", "col", stype.parse(value.cast("string")).alias("val")), r, c, stype)
 
 
 def from_numpy(spark: SparkSession, a, stype: ScalarType = INTEGER) -> Matrix:
-    """A dense array, padded with zeros to powers of two below and to the right."""
+    """A dense array, padded with zeros to powers of two below and to the right. Numbers go to Spark as Arrow columns."""
     import numpy as np
+    import pyarrow as pa
 
     a = np.atleast_2d(a)
     up = lambda n: max(0, (n - 1).bit_length())
     i, j = np.nonzero(a)
-    df = spark.createDataFrame([(int(x), int(y), str(a[x, y].item())) for x, y in zip(i, j)], "row bigint, col bigint, s string")
+    v = a[i, j]
+    cols = {"row": i.astype(np.int64), "col": j.astype(np.int64)}
     if stype is COMPLEX:
-        df = spark.createDataFrame([(int(x), int(y), (float(a[x, y].real), float(a[x, y].imag))) for x, y in zip(i, j)], "row bigint, col bigint, val struct<re:double,im:double>")
-        return Matrix(df, up(a.shape[0]), up(a.shape[1]), stype)
-    return Matrix(df.select("row", "col", stype.parse(F.col("s")).alias("val")), up(a.shape[0]), up(a.shape[1]), stype)
+        cols |= {"re": v.real.astype(float), "im": v.imag.astype(float)}
+        value = COMPLEX.pair(F.col("re"), F.col("im"))
+    elif v.dtype.kind in "iuf" and stype.dtype in ("bigint", "double"):
+        cols |= {"v": v.astype(np.int64 if v.dtype.kind != "f" else float)}
+        value = F.col("v").cast(stype.dtype)
+    else:
+        cols |= {"v": [str(x.item() if hasattr(x, "item") else x) for x in v]}
+        value = stype.parse(F.col("v"))
+    if not len(i):
+        return zero(spark, up(a.shape[0]), up(a.shape[1]), stype)
+    return Matrix(spark.createDataFrame(pa.table(cols)).select("row", "col", value.alias("val")), up(a.shape[0]), up(a.shape[1]), stype)
 
 
 def from_list(spark: SparkSession, values: list, r: int, c: int, stype: ScalarType = INTEGER) -> Matrix:

@@ -5,9 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadlake.functions import regions
 from quadlake.functions import scalars as S
+from quadlake.matrix import Matrix
 from quadlake.operators import transforms as T
 from quadlake.plans import quadtree as Q
 from quadlake.sources import build as B
@@ -121,6 +123,41 @@ def test_files(spark, tmp_path):
         files.read_coordinates(spark, str(tmp_path / "bad.mtx"))
 
 
+def test_files_in_many_tasks(spark, tmp_path):
+    """Small splits: a file's lines meet in several tasks, and places and types come of all of them."""
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        r = random.Random(7)
+        rows = [[r.randint(-99, 99) for _ in range(16)] for _ in range(256)]
+        text = "\n".join("  ".join(map(str, x)) for x in rows)
+        (tmp_path / "a.rmm").write_text("8\n4 " + text[: len(text) - 5] + " 1/3 ")
+        assert spark.read.text(str(tmp_path / "a.rmm")).rdd.getNumPartitions() > 3
+        if len((tmp_path / "a.rmm").read_text().split()) < 2 + 4096:
+            (tmp_path / "a.rmm").write_text((tmp_path / "a.rmm").read_text() + " 5 5 5")
+        want = (tmp_path / "a.rmm").read_text().split()[2 : 2 + 4096]
+        m = files.read_row_major(spark, str(tmp_path / "a.rmm"))
+        assert m.stype is S.MPRATIONAL  # the only quotient is near the end
+        got = {(x.row, x.col): x.val for x in m.df.collect()}
+        assert got == {(k // 16, k % 16): v for k, v in enumerate(want) if v not in ("0",)}
+        n = B.from_numpy(spark, np.array(rows))
+        for parts in (False, True):
+            path = str(tmp_path / f"m{parts}")
+            size = files.write_json(n, path, parts=parts)
+            assert spark.read.text(path).rdd.getNumPartitions() > 3
+            nt, info = files.read_nodes(spark, path)
+            assert nt.size() == size == int(info["NODES"]) and Q.expand(nt).equals(n) and nt.same(Q.compress(n))
+        assert files.equal_files(spark, str(tmp_path / "mFalse"), str(tmp_path / "mTrue"))
+        files.write_coordinates(n, str(tmp_path / "m.mtx"))
+        assert Matrix(files.read_coordinates(spark, str(tmp_path / "m.mtx")).df, 8, 4, S.INTEGER).equals(n)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    z = B.from_list(spark, ["1", "I", "0", "I"], 1, 1, S.COMPLEX)
+    assert files.write_scalars(z, str(tmp_path / "z.txt")) == 3
+    assert sorted((tmp_path / "z.txt").read_text().split("\n")[:-1]) == ["0.0 0.0", "0.0 1.0", "1.0 0.0"]
+    assert "SCALARTYPE\tCOMPLEX" in (tmp_path / "z.txt.info").read_text()
+
+
 def test_regions(spark):
     r = random.Random(2)
     bits = 3
@@ -141,9 +178,76 @@ def test_regions(spark):
     assert (dense(regions.snap_adjacent(m, bits)) == tiles).all()
 
 
+def test_complex_regions(spark):
+    """Values claim up to three neighbours; the rule one by one, in the order of quadrants."""
+    r = random.Random(3)
+    bits, values = 2, []
+    for _ in range(64):
+        values.append(complex(r.choice([0, 0.1, 0.24, 0.26, -0.1, 0.5, 0.55, 1.02]) + r.randint(0, 2) * 0.01, r.choice([0, 0.05, -0.2, 0.3])))
+    m = B.from_list(spark, [f"{v.real}{'-' if v.imag < 0 else '+'}I*{abs(v.imag)}" for v in values], 3, 3, S.COMPLEX)
+    order = sorted(itertools.product(range(8), range(8)), key=lambda p: [b for k in (2, 1, 0) for b in (p[0] >> k & 1, p[1] >> k & 1)])
+    owner, want = {}, np.zeros((8, 8), complex)
+    for x, at in [*((complex(x), None) for x in regions.PRELOADED), *((values[8 * i + j], (i, j)) for i, j in order if values[8 * i + j])]:
+        tile = tuple(int(np.floor(v * 2**bits)) for v in (x.real, x.imag))
+        if tile not in owner:
+            owner[tile] = x
+            si, sj = (-1 if v * 2**bits - t < 0.5 else 1 for v, t in zip((x.real, x.imag), tile))
+            for other in ((tile[0], tile[1] + sj), (tile[0] + si, tile[1]), (tile[0] + si, tile[1] + sj)):
+                owner.setdefault(other, x)
+        if at:
+            want[at] = owner[tile]
+    assert (dense(regions.snap_adjacent(m, bits)) == want).all()
+
+
+def test_region_store(spark):
+    store = regions.RegionStore(spark, S.REAL, bits=3)
+    a, b = (B.from_list(spark, v, 1, 1, S.REAL) for v in (["0.3", "0.29", "0.02", "7.5"], ["0.31", "0.51", "7.51", "1.01"]))
+    assert dense(store.snap(a)).tolist() == [[0.3, 0.3], [0.0, 7.5]]
+    assert dense(store.snap(b)).tolist() == [[0.3, 0.5], [7.5, 1.0]]  # what came first stands, in later matrices too
+    assert store.clean(b) == 0 and store.clean(B.from_list(spark, ["0.3", "0", "0", "0"], 1, 1, S.REAL)) == 1
+    assert dense(store.snap(b)).tolist() == [[0.3, 0.5], [7.51, 1.0]]
+    added = regions.regional(lambda x, y: x + y, lambda x: regions.snap_single(x, 1))(a, b)  # 0.61, 0.8, 7.53, 8.51
+    assert np.allclose(dense(added), [[0.5, 1.0], [7.53, 8.51]])
+
+
+def test_scalar_functions(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()[0]
+    z = S.COMPLEX
+    for a, b, code, order in (("1+I*1", "1+I*1", 0, 0), ("2+I*1", "1+I*1", 1, 1), ("0+I*1", "1+I*1", 2, -1), ("1+I*2", "1+I*1", 4, 1), ("2+I*2", "1+I*1", 5, 1), ("0+I*2", "1+I*1", 6, -1), ("1+I*0", "1+I*1", 8, -1), ("2+I*0", "1+I*1", 9, 1), ("0+I*0", "1+I*1", 10, -1)):
+        for t in (S.COMPLEX, S.MPRATCOMPLEX, S.MPCOMPLEX):
+            assert one(t.compare_parts(t.lit(a), t.lit(b))) == code and one(t.compare(t.lit(a), t.lit(b))) == order
+    assert one(z.is_real(z.lit("2"))) and one(z.is_imaginary(z.lit("2*I"))) and not one(z.is_regular(z.lit("2*I"))) and one(z.is_regular(z.lit("1+I*2")))
+    assert one(S.CLIFFORD.compare(S.CLIFFORD.lit("{S2}"), S.CLIFFORD.lit("(3/2)*{1}"))) == -1
+    for t in (S.REAL, z):
+        v = t.of_doubles(F.lit(float("inf")), F.lit(0.0))
+        assert one(t.is_infinite(v)) and not one(t.is_regular(v)) and not one(t.is_nan(v))
+        assert one(t.is_nan(t.of_doubles(F.lit(float("nan")), F.lit(0.0))))
+    assert one(S.REAL.exact_text(F.lit(0.1))) == "0x1.999999999999ap-4" and one(z.exact_text(z.lit("1-I*0.5"))) == "0x1.0p0-I*0x1.0p-1"
+    assert one(S.MPRATIONAL.of_doubles(F.lit(0.75), F.lit(0.0))) == "3/4" and one(S.INTEGER.of_doubles(F.lit(3.0), F.lit(0.0))) == 3 and one(S.BOOLEAN.of_doubles(F.lit(3.0), F.lit(0.0)))
+    assert one(S.CLIFFORD.of_doubles(F.lit(0.5), F.lit(-2.0))) == "(1/2)*{1}-(2)*{1}*I"
+    for bad in ((3.5, 0.0), (3.0, 1.0)):
+        with pytest.raises(Exception):
+            one(S.INTEGER.of_doubles(*map(F.lit, bad)))
+    assert S.guess_type(["1", "-9223372036854775808"]) is S.MPINTEGER and S.guess_type(["1/2", "I"]) is S.MPRATCOMPLEX
+    for tokens in (["1", "2"], ["1", "99999999999999999999"], ["1", ".5"], ["1/2"], ["I"], ["{S2}"], ["1/2", "i"]):
+        df = spark.createDataFrame([(x,) for x in tokens], "s string")
+        assert S.guess_column(df, F.col("s")) is S.guess_type(tokens)
+
+
+def test_least(spark):
+    """Exactly k rows with the least hashes, ties by the other columns, at any depth of counting."""
+    df = spark.range(5000).select(F.shiftleft(F.col("id") % 7, 40).alias("h"), "id").unionByName(spark.range(5000, 9000).select(F.shiftrightunsigned(F.xxhash64("id"), 4).alias("h"), "id"))
+    every = sorted(map(tuple, df.collect()))
+    for k in (0, 1, 700, 3000, 5003, 9000):
+        assert sorted(map(tuple, B._least(df, "h", k, ["id"], enough=50).collect())) == every[:k]
+
+
 def test_builders(spark):
     assert (dense(B.from_numpy(spark, np.ones((3, 5)), S.REAL))[:3, :5] == 1).all()
     m = B.random_entries(spark, 3, 3, -5, 5, 0.3, seed=4)
     assert int(m.count(0).first()[0]) == round(0.3 * 64)
-    assert B.random_ones(spark, 3, 2, 7).df.count() == 7
+    for ones in (0, 7, 25, 32):
+        got = B.random_ones(spark, 3, 2, ones).df.collect()
+        assert len(got) == len({(x.row, x.col) for x in got}) == ones and all(x.row < 8 and x.col < 4 for x in got)
+    assert B.random_ones(spark, 30, 30, 100).df.count() == 100 and not B.identity(spark, 2).is_invalid()
     assert (dense(B.not_gate(spark)) == [[0, 1], [1, 0]]).all() and B.identity(spark, 3).is_identity()

@@ -31,6 +31,11 @@ def test_registry(spark):
     reg.hold(s)
     reg.set_info(s, "DATE", "today")
     assert reg.clean() == 0 and reg.get_info(s, "DATE") == "today" and reg.get_info(a, "DATE") == ""
+    with pytest.warns(UserWarning):
+        reg.set_info(s, "DATE", "tomorrow")
+    assert reg.info_names() == ["DATE"] and [x["held"] for x in reg.listing()] == [1] and not reg.remove(s)
+    eye = reg.keep(a)
+    assert reg.remove(eye) and not reg.remove(eye)
     reg.release(s)
     assert reg.clean() == 1 and reg.counts()["operations"] == 0
     with pytest.raises(ValueError):
