@@ -41,7 +41,7 @@ class _Pieces(dict):
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit integers. cut: words, blanks, or whole for no cutting."""
 
-    def __init__(self, path: str, cut: str, entries: int = 400_000):
+    def __init__(self, path: str, cut: str, entries: int = 250_000):
         import numpy as np
         from tokenizers import Tokenizer
 
@@ -87,15 +87,15 @@ class Encoder:
         new, known.new = known.new, []
         alone, cores, tails, whole = [], {}, {}, []
         for p in new:
-            core = p.rstrip(PUNCT)
             if not spell or len(p) > 64 or p[:1] == "\n":
                 alone.append(p)
-            elif core.isalpha():  # letters and marks after them never merge
+            elif p.isalpha():
+                cores[p] = None
+            elif (core := p.rstrip(PUNCT)).isalpha():  # letters and marks after them never merge
                 if known.get(core) is None:
                     cores[core] = None
-                if len(core) < len(p):
-                    tails[p[len(core) :]] = None
-                    whole.append((p, core))
+                tails[p[len(core) :]] = None
+                whole.append((p, core))
             elif self.cut == "blanks":
                 cores[p] = None  # one blank a piece, whatever else it holds
             else:
@@ -111,10 +111,7 @@ class Encoder:
 
     def _joined(self, found: list[bytes | None], pieces: list[str]) -> bytes:
         """What was found, and for the pieces that were missed what has been learned since."""
-        if None in found:
-            known = self.known
-            found = [known[p] if f is None else f for f, p in zip(found, pieces, strict=True)]
-        return b"".join(found)
+        return b"".join(map(self.known.__getitem__, pieces) if None in found else found)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.cut == "whole":
