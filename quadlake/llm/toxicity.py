@@ -85,10 +85,12 @@ def finder(voters: list[tuple[str, bool, int, float]]):
 
 def vectors(m: int, votes: list[list[int]], hits: np.ndarray, words: np.ndarray) -> np.ndarray:
     """What the classifier sees: each vote, their number, hits and hits a hundred words on a log scale, and a constant."""
-    v = np.zeros((len(votes), m))
-    for row, on in zip(v, votes):
+    out = np.zeros((len(votes), m + 4))
+    for row, on in zip(out, votes):
         row[on] = 1
-    return np.column_stack([v, v.sum(1), np.log1p(hits), np.log1p(100 * hits / np.maximum(words, 1)), np.ones(len(votes))])
+        row[m] = len(on)
+    out[:, m + 1], out[:, m + 2], out[:, m + 3] = np.log1p(hits), np.log1p(100 * hits / np.maximum(words, 1)), 1
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -233,7 +235,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     pen[-1] = 1e-6
     for _ in range(steps):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (q * (1 - q) + 1e-9)[:, None]).T @ x + np.diag(pen)
+        h = np.diag(pen)
+        for k in range(0, len(x), 4096):
+            part = x[k : k + 4096]
+            h += part.T @ (part * (q[k : k + 4096] * (1 - q[k : k + 4096]) + 1e-9)[:, None])
         step = np.linalg.solve(h, x.T @ (y - q) - pen * w)
         w += step
         if np.abs(step).max() < 1e-6:
