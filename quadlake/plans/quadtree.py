@@ -494,6 +494,10 @@ def add(a: NodeTable, b: NodeTable) -> NodeTable:
     if (a.row_level, a.col_level, a.stype) != (b.row_level, b.col_level, b.stype):
         raise ValueError("levels or types differ")
     a, b, t = canonical(a), canonical(b), a.stype
+    if a.few is not None and b.few is not None:
+        out = _add_few(a, b)
+        if out is not None:
+            return out
     down = a.steps[::-1]
     pairs = [a.spark.createDataFrame([(a.root, b.root)], "a string, b string")]
     zipped = lambda r, c: (a.at(r, c).select(F.col("id").alias("a"), F.array(*QUADS).alias("x")), b.at(r, c).select(F.col("id").alias("b"), F.array(*QUADS).alias("y")))
@@ -515,6 +519,31 @@ def add(a: NodeTable, b: NodeTable) -> NodeTable:
     return _table(a.spark, _joined(tables), _first(done.select("id"), zero_id(a.row_level, a.col_level)), a.row_level, a.col_level, t)
 
 
+def _add_few(a: NodeTable, b: NodeTable) -> NodeTable | None:
+    """``add`` with pairs met and named on the driver, and scalars added by Spark; None where a level has over 10 FEW pairs."""
+    t, spark, down = a.stype, a.spark, a.steps[::-1]
+    level, parted = [(a.root, b.root)], []
+    for _ in down[1:]:
+        quads = [[(a.few[x][q], b.few[y][q]) if a.few[x][q] else None for q in QUADS] for x, y in level]
+        parted.append((level, quads))
+        level = list(dict.fromkeys(p for four in quads for p in four if p))
+        if len(level) > 10 * FEW:
+            return None
+    pairs = spark.createDataFrame(level, "a string, b string").join(a.leaves().toDF("a", "x"), "a").join(b.leaves().toDF("b", "y"), "b")
+    leaf = pairs.select("a", "b", t.plus(F.col("x"), F.col("y")).alias("val"))
+    leaf = cut(leaf.select("a", "b", "val", _leaf(t, F.col("val")).alias("id")))
+    now, made = {(x["a"], x["b"]): x["id"] for x in leaf.select("a", "b", "id").collect()}, {}
+    for here, lower, (sums, quads) in zip(down[-2::-1], down[:0:-1], parted[::-1]):
+        up = {}
+        for pair, four in zip(sums, quads):
+            names = [now[p] if p else None for p in four]
+            up[pair] = _name(here, lower, names)
+            made[up[pair]] = (up[pair], *here, *names, None)
+        now = up
+    tables = [_scalars(leaf, t)] + ([spark.createDataFrame(list(made.values()), NODES)] if made else [])
+    return _table(spark, _joined(tables), now[a.root, b.root], a.row_level, a.col_level, t)
+
+
 def saxpy(a: NodeTable, b: NodeTable, x, y) -> NodeTable:
     """x a + y b."""
     return add(scale(a, x), scale(b, y))
