@@ -298,7 +298,7 @@ def _levels(s: SparkSession, m: Matrix) -> DataFrame:
 def _files_equal(s: SparkSession, a: Matrix, b: Matrix) -> DataFrame:
     paths = [new_path(s, "file") for _ in range(3)]
     files.write_json(a, paths[0])
-    files.write_json(a, paths[1], top_left=True)
+    files.write_json(a, paths[1], parts=True)
     files.write_json(b, paths[2])
     return _said(s, itself=files.equal_files(s, *paths[:2]), other=files.equal_files(s, paths[0], paths[2]))
 
