@@ -305,7 +305,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, thres
             scores = score(model, [g[0] for g in got], np.array([g[1] for g in got]), np.array([g[2] for g in got]))
             yield b.filter(pa.array(scores < threshold))
 
-    return C.stage(spark, docs.mapInArrow(clean, docs.schema), "clean")
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names with dots don't pass through Arrow
+    return C.stage(spark, plain.mapInArrow(clean, plain.schema), "clean").toDF(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
