@@ -21,7 +21,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts similar by 0.8 on five-word shingles, directly or through others, the one with the smallest doc_id stays."""
+    """Of texts with SimHashes within 3 bits, or similar by 0.8 on five-word shingles, directly or through others, the one
+    with the smallest doc_id stays."""
     return simhash.deduplicate(spark, docs)
 
 

@@ -40,7 +40,11 @@ def fingerprint(text: bytes, shingle: int) -> int:
     else:
         spans = [b" ".join(w) for w in zip(*(words[k:] for k in range(shingle)))]
     h = xxhash.xxh64_intdigest
-    v = np.fromiter((h(s, 42) for s in spans), np.uint64, len(spans))
+    return majority(np.fromiter((h(s, 42) for s in spans), np.uint64, len(spans)))
+
+
+def majority(v: np.ndarray) -> int:
+    """The bits that more than half of these hashes set, as a signed 64-bit integer."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(v), 1 << 16):  # bounded however long the text is
         ones += np.unpackbits(v[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -505,27 +509,41 @@ def _large_groups(spark: SparkSession, big: DataFrame, similarity: float, shard_
     return linked.unionByName(C.stage(spark, dealt.mapInArrow(answer, "a long, b long"), "answers"))
 
 
-@C.small_batches
-def similar(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id", shard_texts: int = 2000) -> DataFrame:
-    """doc_id, text_sha256, rid, component for every row: texts whose sets of shingles have at least this similarity are linked.
+def _near_fingerprints(spark: SparkSession, texts: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """a, b: links among texts (tid, fp) that connect all whose fingerprints lie within the radius, directly or not."""
+    first = C.stage(spark, texts.groupBy("fp").agg(F.min("tid").alias("first")), "distinct")
+    found = links(spark, first, radius=radius, shard_rows=shard_rows)
+    ends = [first.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_tid")) for x in "ab"]
+    apart = found.join(ends[0], "a").join(ends[1], "b").select(F.col("a_tid").alias("a"), F.col("b_tid").alias("b"))
+    return texts.join(first, "fp").where("tid <> first").select(F.col("tid").alias("a"), F.col("first").alias("b")).unionByName(apart)
 
-    Groups are named by minima of the shingle set: a pair at the similarity shares one of five but for 0.03 %. All pairs of
-    a group count that are similar on their whole sets of 64-bit shingle hashes, however long the texts and however large
-    the group: one of over shard_texts texts is dealt to several tasks. Texts without words are equal. Of repeated rows each
-    is a row. component is the smallest rid reached.
+
+@C.small_batches
+def similar(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 3, text: str = "text", doc_id: str = "doc_id", shard_texts: int = 2000, shard_rows: int = 20_000) -> DataFrame:
+    """doc_id, text_sha256, rid, component for every row: texts are linked whose SimHashes lie within ``radius`` bits, and
+    those whose sets of shingles have at least this similarity.
+
+    SimHashes are those of the sets, so repeats do not move them, and the shards' BK-trees find all that lie within the
+    radius. They alone would lose texts at the similarity, which differ by some ten bits; those are found in groups named by
+    minima of the shingle set: a pair at the similarity shares one of five but for 0.03 %. All pairs of a group count that
+    are similar on their whole sets of 64-bit shingle hashes, however long the texts and however large the group: one of
+    over shard_texts texts is dealt to several tasks. Texts without words are equal, and have no SimHash. Of repeated rows
+    each is a row. component is the smallest rid reached.
     """
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("b"))
     src = src.select("doc_id", F.sha2("b", 256).alias("text_sha256"), "b")
 
     def rows(batches):
         for b in small(batches):
-            mins = [minima(shingle_set(x.as_py(), shingle)) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(mins, pa.list_(pa.int64()))], names=["doc_id", "text_sha256", "mins"])
+            sets = [shingle_set(x.as_py(), shingle) for x in b.column(2)]
+            fps = pa.array([majority(v) if len(v) else None for v in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps, pa.array([minima(v) for v in sets], pa.list_(pa.int64()))], names=["doc_id", "text_sha256", "fp", "mins"])
 
-    got = src.mapInArrow(rows, "doc_id long, text_sha256 string, mins array<long>")
+    got = src.mapInArrow(rows, "doc_id long, text_sha256 string, fp long, mins array<long>")
     all_rows = C.stage(spark, got.select(F.monotonically_increasing_id().alias("rid"), "*"), "profiles")
     # equal texts are one in what follows
-    texts = all_rows.groupBy("text_sha256").agg(F.min("rid").alias("tid"), F.first("mins").alias("mins"))
+    texts = all_rows.groupBy("text_sha256").agg(F.min("rid").alias("tid"), F.first("fp").alias("fp"), F.first("mins").alias("mins"))
+    near = _near_fingerprints(spark, texts.where("fp IS NOT NULL").select("tid", "fp"), radius, shard_rows)
     keys = texts.select("text_sha256", "tid", F.posexplode("mins").alias("band", "key"))
     shared = C.stage(spark, keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     members = C.stage(spark, keys.join(shared, ["band", "key"]), "members")
@@ -545,7 +563,7 @@ def similar(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, similarit
     links_ = _shared_sets(members.where(F.col("n") <= shard_texts) if large else members, similarity)
     if large:
         links_ = links_.unionByName(_large_groups(spark, members.where(F.col("n") > shard_texts), similarity, shard_texts))
-    found = components.components(spark, links_)
+    found = components.components(spark, links_.unionByName(near))
     named = C.stage(spark, texts.select("text_sha256", "tid").join(found, F.col("tid") == F.col("node"), "left").select("text_sha256", F.coalesce("root", "tid").alias("component")), "named")
     return C.stage(spark, all_rows.select("doc_id", "text_sha256", "rid").join(named, "text_sha256"), "similar")
 

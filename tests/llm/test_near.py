@@ -116,3 +116,29 @@ def test_recall_of_candidates():
         x, y = (np.unique(np.concatenate([both, r.integers(0, 1 << 63, k, np.uint64)])) for _ in range(2))
         missed += not set(enumerate(simhash.minima(x))) & set(enumerate(simhash.minima(y)))
     assert missed <= 6
+
+
+def test_simhashes_link_too(spark):
+    """Pairs under 0.8 whose SimHashes lie within 3 bits, among pairs that neither rule links; the trees miss none."""
+    xxhash = pytest.importorskip("xxhash")
+    r = np.random.default_rng(5)
+
+    def simhash_of(text):
+        h = [xxhash.xxh64_intdigest(" ".join(s), 42) for s in shingles(text)]
+        return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+    texts, close = ["", " \n"], 0
+    while close < 4:
+        words = [f"w{x}" for x in r.integers(0, 10**6, 60)]
+        other = list(words)
+        other[20] = other[47] = "changed"  # ten of 56 shingles: 46 of 66 are shared
+        pair = [" ".join(words), " ".join(other)]
+        assert similarity(*map(shingles, pair)) < 0.8
+        near = (simhash_of(pair[0]) ^ simhash_of(pair[1])).bit_count() <= 3
+        if near or len(texts) < 40:
+            texts += pair
+            close += near
+    fps, sets = [simhash_of(t) for t in texts], [shingles(t) for t in texts]
+    want = clusters(len(texts), [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if similarity(sets[i], sets[j]) >= 0.8 or sets[i] and sets[j] and (fps[i] ^ fps[j]).bit_count() <= 3])
+    got = components(spark, texts)
+    assert [got.index(x) for x in got] == want
