@@ -527,8 +527,8 @@ def similar(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, similarit
     radius. They alone would lose texts at the similarity, which differ by some ten bits; those are found in groups named by
     minima of the shingle set: a pair at the similarity shares one of five but for 0.03 %. All pairs of a group count that
     are similar on their whole sets of 64-bit shingle hashes, however long the texts and however large the group: one of
-    over shard_texts texts is dealt to several tasks. Texts without words are equal, and have no SimHash. Of repeated rows
-    each is a row. component is the smallest rid reached.
+    over shard_texts texts is dealt to several tasks. Groups of the same texts, told by 128 bits, are one. Texts without
+    words are equal, and have no SimHash. Of repeated rows each is a row. component is the smallest rid reached.
     """
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("b"))
     src = src.select("doc_id", F.sha2("b", 256).alias("text_sha256"), "b")
@@ -545,7 +545,10 @@ def similar(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, similarit
     texts = all_rows.groupBy("text_sha256").agg(F.min("rid").alias("tid"), F.first("fp").alias("fp"), F.first("mins").alias("mins"))
     near = _near_fingerprints(spark, texts.where("fp IS NOT NULL").select("tid", "fp"), radius, shard_rows)
     keys = texts.select("text_sha256", "tid", F.posexplode("mins").alias("band", "key"))
-    shared = C.stage(spark, keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    who = [F.bit_xor(F.xxhash64("tid", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    groups = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *who).where("n > 1")
+    shared = groups.groupBy("n", "x1", "x2").agg(F.min(F.struct("band", "key")).alias("g")).select("g.band", "g.key", "n")
+    shared = C.stage(spark, shared, "shared")
     members = C.stage(spark, keys.join(shared, ["band", "key"]), "members")
 
     # Whole sets only of texts that share a minimum; the shingles of others are not needed again.

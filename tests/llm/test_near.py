@@ -142,3 +142,17 @@ def test_simhashes_link_too(spark):
     want = clusters(len(texts), [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if similarity(sets[i], sets[j]) >= 0.8 or sets[i] and sets[j] and (fps[i] ^ fps[j]).bit_count() <= 3])
     got = components(spark, texts)
     assert [got.index(x) for x in got] == want
+
+
+def test_groups_of_the_same_texts_are_one(spark, monkeypatch):
+    """What several minima bring together is sent to be compared once, not once a minimum."""
+    r = np.random.default_rng(6)
+    texts = []
+    for k in range(20):
+        words = [f"w{x}" for x in r.integers(0, 10**6, 300)]
+        texts += [" ".join(words), " ".join([*words, "more"])]
+    sent, plain = [], simhash._shared_sets
+    monkeypatch.setattr(simhash, "_shared_sets", lambda members, s: sent.append(members.count()) or plain(members, s))
+    got = components(spark, texts)
+    assert all(x == y for x, y in zip(got[::2], got[1::2])) and len(set(got)) == 20
+    assert sent == [40]
