@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from . import tokens
-from .common import small
+from .common import small, together
 
 PIECES = "rid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -64,7 +64,7 @@ def pieces(spark: SparkSession, docs: DataFrame, *, tokenizer: str, cut: str, en
 
     def rows(batches):
         enc, end = tokens.encoder(tokenizer, cut), np.array([end_id], "<u4").tobytes()
-        for b in small(batches):
+        for b in together(small(batches)):
             out: list[list] = [[] for _ in range(5)]
             for d, x in zip(b.column(0).to_pylist(), enc(b.column(1).to_pylist()), strict=True):
                 x += end

@@ -389,3 +389,21 @@ def test_multipliers_solve_the_dual(spark):
 def test_copies_never_exceed_the_most(spark):
     docs = spark.createDataFrame([(k, "w " * (1 + k % 7), "only" if k else "other") for k in range(300)], "doc_id long, text string, source string")
     assert all(r.copies <= 2 for r in mixing.mix(spark, docs, most=2.0, weights=(1, 50)).collect())
+
+
+@pytest.mark.parametrize(("name", "cut"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "blanks")])
+@pytest.mark.parametrize(("entries", "chars"), [(400_000, 8 << 20), (40, 300)])
+def test_pieces_are_learned_once(sf, name, cut, entries, chars):
+    """Ids are the library's on whole texts, whatever the cache holds; of many copies' pieces each is encoded once."""
+    from quadlake.llm import tokens
+
+    enc = tokens.Encoder(public_tokenizers.path(name), cut, entries, chars)
+    texts = [t or "" for _, t, *_ in sf[1]] + ["", " ", "\n", "a\tb", "x" * 70 + " y", "y " + "x" * 70, "\tz", "a b\nc", "\nq", "q \n", "it's, it's.", "Σας Σ", "\x00a a"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in enc.t.encode_batch(texts, add_special_tokens=False)]
+    assert [x for i in range(0, len(texts), 100) for x in enc(texts[i : i + 100])] == want
+    assert enc(texts) == want and enc([]) == []
+    learned, plain = [], enc._learn
+    enc._learn = lambda new: learned.extend(new) or plain(new)
+    words = [f"zq{chr(97 + k)}w" for k in range(20)]
+    enc([" ".join(["a", *words, "b"])] * 50)
+    assert sorted(set(words) & set(learned)) == words and len(learned) == len(set(learned))
