@@ -407,3 +407,17 @@ def test_pieces_are_learned_once(sf, name, cut, entries, chars):
     words = [f"zq{chr(97 + k)}w" for k in range(20)]
     enc([" ".join(["a", *words, "b"])] * 50)
     assert sorted(set(words) & set(learned)) == words and len(learned) == len(set(learned))
+
+
+def test_batches_put_together():
+    """Every row in its order, in batches that end once they hold so many rows or bytes."""
+    import pyarrow as pa
+    from quadlake.llm import common
+
+    sizes = [3, 0, 5, 9, 1, 1, 1]
+    batches = [pa.RecordBatch.from_pydict({"n": pa.array(range(10 * k, 10 * k + s), pa.int64())}) for k, s in enumerate(sizes)]
+    want = [x for b in batches for x in b.column(0).to_pylist()]
+    for rows, size, lengths in ((8, 1 << 20, [8, 9, 3]), (100, 64, [8, 9, 3]), (100, 1 << 20, [20])):
+        got = list(common.together(iter(batches), rows, size))
+        assert [x for b in got for x in b.column(0).to_pylist()] == want and [b.num_rows for b in got] == lengths
+    assert list(common.together(iter([]))) == []
