@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions.scalars import INTEGER, ScalarType
 
 MAX_LEVEL = 32
+SPARSE = 40  # levels of rows and columns together, beyond which terms are not summed where they arise: they seldom share a cell
 
 
 def morton(row: Column, col: Column, row_level: int, col_level: int) -> Column:

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import COMPLEX, INTEGER, ScalarType
-from ..matrix import Matrix, cells
+from ..matrix import SPARSE, Matrix, cells
+
+
+PART_BYTES = 2 << 20  # of a file, for a task that sums sparse cells
 
 
 def zero(spark: SparkSession, r: int, c: int, stype: ScalarType = INTEGER) -> Matrix:
@@ -193,7 +196,19 @@ def from_list(spark: SparkSession, values: list, r: int, c: int, stype: ScalarTy
     return Matrix(out.where(stype.nonzero(F.col("val"))), r, c, stype)
 
 
+def _parts(df: DataFrame) -> int:
+    """A part for every PART_BYTES of what df reads, so that a task's share does not grow with the table; 0 where Spark can't tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return -(-size // PART_BYTES) if 0 < size < 1 << 45 else 0
+
+
 def from_table(df: DataFrame, row, col, val, r: int, c: int, stype: ScalarType = INTEGER) -> Matrix:
     """Cells from the rows of a table: indexes modulo the dimensions, values summed. Rows with a null in any are left out."""
     cut = df.select(F.pmod(row.cast("long"), F.lit(1 << r)).alias("row"), F.pmod(col.cast("long"), F.lit(1 << c)).alias("col"), val.cast(stype.dtype).alias("val"))
-    return Matrix(stype.sum_by(cut.where("row IS NOT NULL AND col IS NOT NULL AND val IS NOT NULL"), ["row", "col"]), r, c, stype)
+    cut = cut.where("row IS NOT NULL AND col IS NOT NULL AND val IS NOT NULL")
+    if r + c > SPARSE:
+        # rows of a table seldom share a cell here: partial sums would hold every row of a file's part and combine next to none.
+        # Dealt out by row, cells are summed where products and sums by row find them.
+        parts = _parts(df)
+        cut = cut.repartition(parts, "row") if parts else cut.repartition("row")
+    return Matrix(stype.sum_by(cut, ["row", "col"]), r, c, stype)

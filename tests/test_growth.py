@@ -51,3 +51,26 @@ def test_many_blocks_and_few_agree(spark, monkeypatch, shape):
     assert Q.expand(many).equals(m)
     other = Q.NodeTable(many.nodes.select(*(F.concat(F.lit("n"), k).alias(k) if k in ("id", *Q.QUADS) else F.col(k) for k in many.nodes.columns)), "n" + many.root, *shape, S.INTEGER, False)
     assert Q.expand(other).equals(m)
+
+
+def _plan(spark, name):
+    from quadlake import queries
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return queries.QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_sparse_cells_are_not_held_by_the_tasks_that_read_them(spark):
+    for part in _plan(spark, "sparse_saxpy").split("Exchange ")[1:]:
+        assert "HashAggregate" not in part.split("FileScan")[0].split("Union")[0].split("REPARTITION_BY_COL")[-1]
+
+
+def test_sparse_cells_of_repeated_keys(spark):
+    rows = spark.createDataFrame([(7, 9, 2)] * 40 + [(7, 8, 1), (None, 8, 1), (6, 9, 5), (6, 9, -5)], "r long, c long, v long")
+    m = B.from_table(rows, F.col("r"), F.col("c"), F.col("v"), 24, 22)
+    assert sorted(map(tuple, m.df.collect())) == [(7, 8, 1), (7, 9, 80)]
+    assert sorted(map(tuple, (m.adjoint() @ m).df.collect())) == [(8, 8, 1), (8, 9, 80), (9, 8, 80), (9, 9, 6400)]
