@@ -171,6 +171,9 @@ class Matrix:
         a = self.df.select(F.col("row").alias("i"), F.col("col").alias("k"), F.col("val").alias("x"))
         b = other.df.select(F.col("row").alias("k"), F.col("col").alias("j"), F.col("val").alias("y"))
         terms = a.join(b, "k").select(F.col("i").alias("row"), F.col("j").alias("col"), self.stype.times(F.col("x"), F.col("y")).alias("val"))
+        if self.row_level + other.col_level > SPARSE:
+            # partial sums would hold, and spill, nearly all terms of a join's task without making them much fewer
+            terms = terms.repartition("row", "col")
         return Matrix(self.stype.sum_by(terms, ["row", "col"]), self.row_level, other.col_level, self.stype)
 
     def product(self, other: Matrix, keep_rows: int | None = None) -> Matrix:

@@ -69,6 +69,12 @@ def test_sparse_cells_are_not_held_by_the_tasks_that_read_them(spark):
         assert "HashAggregate" not in part.split("FileScan")[0].split("Union")[0].split("REPARTITION_BY_COL")[-1]
 
 
+def test_sparse_products_shuffle_operands_once(spark):
+    plan = _plan(spark, "sparse_product")
+    assert plan.count("Exchange ") == 3  # both operands and the terms; five when cells were summed by row and column first
+    assert "ENSURE_REQUIREMENTS" not in plan
+
+
 def test_sparse_cells_of_repeated_keys(spark):
     rows = spark.createDataFrame([(7, 9, 2)] * 40 + [(7, 8, 1), (None, 8, 1), (6, 9, 5), (6, 9, -5)], "r long, c long, v long")
     m = B.from_table(rows, F.col("r"), F.col("c"), F.col("v"), 24, 22)
