@@ -39,7 +39,7 @@ def test_compress_and_expand_make_nothing_of_zeros(spark, tables, monkeypatch):
     assert max(n for n, _ in tables) <= 30
 
 
-@pytest.mark.parametrize("shape", [(5, 4), (3, 1)])
+@pytest.mark.parametrize("shape", [(5, 4), (3, 1), (0, 0)])
 def test_many_blocks_and_few_agree(spark, monkeypatch, shape):
     a = np.random.default_rng(3).integers(-2, 3, (1 << shape[0], 1 << shape[1]))
     m = B.from_numpy(spark, a)
